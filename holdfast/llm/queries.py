@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import exact_dedup, mixing, sharding
+from holdfast.llm import exact_dedup, minhash, mixing, sharding
 from holdfast.llm.common import table
 
 
@@ -22,8 +22,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup, op6_sharding, op8_mixing)}
+    return {f.__name__: f for f in (op5_exact_dedup, op6_sharding, op8_mixing, op10_minhash)}
 
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -76,5 +80,24 @@ FROM (SELECT *, (floor(rate) + (coin < rate - floor(rate))::INTEGER)::BIGINT AS
 """
 
 
+OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM d),
+e AS (SELECT doc_id, len(sh) AS n, hash(unnest(sh)) AS h FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS x, any_value(b.n) AS y
+  FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * common >= 85 * (x + y - common)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.seen FROM r JOIN u ON u.a = r.doc_id),
+c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY 1)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+""".replace("{FOLD}", FOLD)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op6_sharding": OP6, "op8_mixing": OP8}
+    return {"op5_exact_dedup": OP5, "op6_sharding": OP6, "op8_mixing": OP8, "op10_minhash": OP10}
