@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import exact_dedup, minhash, mixing, sharding
+from holdfast.llm import exact_dedup, minhash, mixing, sharding, token_planes
 from holdfast.llm.common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_planes.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("frequent")
 
@@ -27,7 +37,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup, op6_sharding, op8_mixing, op10_minhash)}
+    return {f.__name__: f for f in (op3_token_planes, op5_exact_dedup, op6_sharding, op8_mixing, op10_minhash)}
 
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
