@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import decontaminate, exact_dedup, langid, minhash, mixing, quality_gam, sharding, token_planes
+from holdfast.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, quality_gam, sharding, token_planes
 from holdfast.llm.common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_gam, op3_token_planes, op4_decontaminate, op5_exact_dedup, op6_sharding, op7_langid, op8_mixing, op10_minhash)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_gam, op3_token_planes, op4_decontaminate, op5_exact_dedup, op6_sharding, op7_langid, op8_mixing, op10_minhash)}
 
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
