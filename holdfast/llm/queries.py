@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, quality_gam, sharding, token_planes
+from holdfast.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, quality_gam, secrets, sharding, token_planes
 from holdfast.llm.common import table
 
 
@@ -49,12 +49,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_gam, op3_token_planes, op4_decontaminate, op5_exact_dedup, op6_sharding, op7_langid, op8_mixing, op10_minhash)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_gam, op3_token_planes, op4_decontaminate, op5_exact_dedup, op6_sharding, op7_langid, op8_mixing, op9_secrets, op10_minhash)}
 
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
