@@ -177,3 +177,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("doc_id").eqNullSafe(component).alias("kept"),
         (F.col("best").isNull() | (F.col("best.row_id") == F.col("row_id"))).alias("stays"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its columns."""
+    gone = materialise(near_duplicates(docs, id_col, text_col).where("not stays").select(F.col("row_id").alias("__gone")), "gone")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")

@@ -100,3 +100,9 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = shard_rows(materialise(narrow, "sizes"), "doc_id", "size", "text_crc32", shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
+    """The documents with all their columns, shard and slot."""
+    rows = docs.drop("shard", "slot").withColumn("__size", (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 8).cast("long"))
+    return shard_rows(rows, id_col, "__size", None, shards).drop("__size")
