@@ -24,7 +24,7 @@ from holdfast.llm.common import held_out, small_batches
 
 FEATURES = ("bytes", "words", "word_length", "distinct", "repeats", "upper", "stops", "bangs", "bars", "symbols", "digits", "other_bytes", "lines", "marked_words", "brackets")
 TRAIN_ROWS, KEEP_AT, SEED = 20_000, 0.3, 2
-BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, LEAST, RIDGE = 64, 12, 150, 60, 8, 0.1, 20, 1.0
+BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, LEAST, RIDGE = 64, 12, 150, 60, 8, 0.1, 4, 0.5
 
 
 def _classes() -> np.ndarray:
