@@ -175,8 +175,8 @@ def parse_moment(text: Column) -> Column:
 
 def backup_moment(name: Column, fallback: Column) -> Column:
     """The moment in a snapshot's name library-YYYYMMDD-HHMMSSmmm-reason, else the fallback."""
-    stamp = F.concat_ws("", *[F.regexp_extract(name, r"^library-(\d{8})-(\d{6})(\d{3})-", i) for i in (1, 2, 3)])
-    return F.coalesce(F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyyyMMddHHmmssSSS")), fallback)
+    stamp = F.regexp_replace(F.regexp_extract(name, r"^library-(\d{8}-\d{9})-", 1), r"(\d{3})$", ".$1")
+    return F.coalesce(F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyyyMMdd-HHmmss.SSS")), fallback)
 
 
 def backup_reason(name: Column) -> Column:
@@ -185,7 +185,7 @@ def backup_reason(name: Column) -> Column:
 
 def format_bytes(size: Column) -> Column:
     """Steps of 1024, a decimal comma, no decimals from 100 on."""
-    step = F.least(F.greatest(F.floor(F.log(F.lit(1024.0), F.greatest(size, F.lit(1)).cast("double")) + 1e-12), F.lit(0)), F.lit(4)).cast("int")
+    step = F.least(F.greatest(F.floor(F.log(1024.0, F.greatest(size, F.lit(1)).cast("double")) + 1e-12), F.lit(0)), F.lit(4)).cast("int")
     value = size / F.pow(F.lit(1024.0), step)
     unit = F.get(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB")]), step)
     shown = F.when((value >= 100) | (step == 0), F.format_string("%.0f", value)).otherwise(F.replace(F.format_string("%.1f", value), F.lit("."), F.lit(",")))
