@@ -69,6 +69,15 @@ def restricted(embeddings: DataFrame, ids: DataFrame | None) -> DataFrame:
     return embeddings if ids is None else embeddings.join(ids.withColumnRenamed("id", "item_id"), "item_id", "left_semi")
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """Rows that a limit or a fixed number bounds (a few hundred), worked out once and held by the plan.
+
+    What follows refers to them more than once and joins them to each other, so a top-k over a large table is not made anew
+    for every reference.
+    """
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def nearest(embeddings: DataFrame, space: str, query: list[float], k: int = K, ids: DataFrame | None = None, key: str = "vec_id") -> DataFrame:
     """The k nearest vectors of a space: all columns, distance, cosine. The filter comes before the limit; top-k is kept by partition and merged."""
     rows = restricted(embeddings.where((F.col("space") == space) & (F.size("embedding") == len(query))), ids)
@@ -99,11 +108,11 @@ def image_evidence(embeddings: DataFrame, queries: dict[str, list[float]], calib
     """
     found = None
     for s in queries:
-        rows = nearest(embeddings, s, queries[s], k, ids).select("item_id", "frame_id", "ts_s", F.lit(s).alias("space"), "cosine")
+        rows = settled(nearest(embeddings, s, queries[s], k, ids).select("item_id", "frame_id", "ts_s", F.lit(s).alias("space"), "cosine"))
         found = rows if found is None else found.unionByName(rows)
     found = found.groupBy("item_id", "frame_id", "space").agg(F.max("cosine").alias("cosine"), F.max("ts_s").alias("ts_s"))
     pool = found.groupBy("item_id", "frame_id").agg(F.max("cosine").alias("top"), F.max("ts_s").alias("ts_s"), F.collect_set("space").alias("have"))
-    contenders = pool.orderBy(F.desc("top"), "item_id", F.asc_nulls_first("frame_id")).limit(CONTENDERS)
+    contenders = settled(pool.orderBy(F.desc("top"), "item_id", F.asc_nulls_first("frame_id")).limit(CONTENDERS))
     exact = F.lit(None).cast("double")
     for s, q in queries.items():
         exact = F.when(F.col("e.space") == s, vector.dot_constant(F.col("e.embedding"), q)).otherwise(exact)
@@ -111,6 +120,8 @@ def image_evidence(embeddings: DataFrame, queries: dict[str, list[float]], calib
     # at most CONTENDERS rows
     missing = embeddings.where(F.col("space").isin(*queries)).alias("e").join(F.broadcast(contenders).alias("c"), same & ~F.array_contains("c.have", F.col("e.space")))
     filled = missing.select("e.item_id", "e.frame_id", "e.space", exact.alias("cosine"), "e.ts_s").groupBy("item_id", "frame_id", "space").agg(F.max("cosine").alias("cosine"), F.max("ts_s").alias("ts_s"))
+    # at most a row for each contender and space
+    filled = settled(filled)
     scored = found.select("item_id", "frame_id", "space", "cosine", "ts_s").unionByName(filled).join(F.broadcast(calibrations), "space", "left")
     scored = scored.withColumn("score", scoring.calibrated(F.col("cosine"), F.col("mean"), F.col("stddev")))
     keys = scored.groupBy("item_id", "frame_id").agg(F.avg("score").alias("score"), F.max("ts_s").alias("ts_s"), F.count(F.lit(1)).alias("n_spaces"))
@@ -123,7 +134,7 @@ def best_per(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 def text_evidence(embeddings: DataFrame, query: list[float], calibrations: DataFrame, k: int = K, ids: DataFrame | None = None, space: str = "text") -> tuple[DataFrame, DataFrame]:
     """Each item's best chunk (item_id, score, chunk_ix, ts_s), and the nearest chunks for the phrase pass."""
-    found = nearest(embeddings, space, query, k, ids)
+    found = settled(nearest(embeddings, space, query, k, ids).drop("embedding"))
     scored = found.join(F.broadcast(calibrations), "space", "left").withColumn("score", scoring.calibrated(F.col("cosine"), F.col("mean"), F.col("stddev")))
     best = best_per(scored.select("item_id", "score", "chunk_ix", "ts_s"), "item_id", [F.desc("score"), "chunk_ix"])
     return best, found.orderBy("distance", "vec_id").limit(PHRASE_CHUNKS).select("item_id", "chunk_ix")
@@ -165,21 +176,26 @@ def bm25(chunks: DataFrame, query: str, limit: int = BM25_ROWS) -> DataFrame:
     return rows.where(hit).select("chunk_id", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
-def phrase_evidence(chunks: DataFrame, query: str, ratio, near: DataFrame | None = None, ids: DataFrame | None = None, prefilter: bool = False, n_words: int | None = None) -> DataFrame:
+def phrase_evidence(chunks: DataFrame, query: str, ratio, near: DataFrame | None = None, ids: DataFrame | None = None, prefilter: bool = False, n_words: int | None = None, words: DataFrame | None = None) -> DataFrame:
     """item_id, score, ratio, chunk_ix of the items whose chunks resemble the phrase.
 
-    Candidates are the BM25 rows and the nearest chunks; the item filter comes after BM25's limit unless `prefilter`.
+    Candidates are the BM25 rows (`words`, if they are there already) and the nearest chunks; the item filter comes after
+    BM25's limit unless `prefilter`.
     """
     pool = restricted_chunks(chunks, ids) if prefilter else chunks
-    by_words = chunks.join(F.broadcast(bm25(pool, query).select("chunk_id")), "chunk_id", "left_semi")
+    hits = settled(bm25(pool, query).select("chunk_id")) if words is None else words
+    by_words = chunks.join(F.broadcast(hits), "chunk_id", "left_semi")
     found = by_words
     if near is not None:
         found = by_words.unionByName(chunks.join(F.broadcast(near), ["item_id", "chunk_ix"], "left_semi").select(*chunks.columns)).dropDuplicates(["chunk_id"])
     found = restricted_chunks(found, ids)
     n = len(query.split()) if n_words is None else n_words
+    # a few hundred rows that each take long: dealt out evenly
+    found = found.repartition(found.sparkSession.sparkContext.defaultParallelism)
     scored = found.withColumn("ratio", ratio(F.col("chunk_text"))).where(F.col("ratio") >= scoring.LEAST_RATIO)
     scored = scored.withColumn("score", scoring.phrase_score(F.col("ratio"), n))
-    return best_per(scored.select("item_id", "score", "ratio", "chunk_ix", "chunk_text"), "item_id", [F.desc("ratio"), "chunk_ix"])
+    # at most BM25_ROWS + PHRASE_CHUNKS rows
+    return settled(best_per(scored.select("item_id", "score", "ratio", "chunk_ix", "chunk_text"), "item_id", [F.desc("ratio"), "chunk_ix"]))
 
 
 def restricted_chunks(chunks: DataFrame, ids: DataFrame | None) -> DataFrame:

@@ -28,7 +28,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 FILTERS = S.Filters("", ["text", "audio"], ["src1", "src2", "toxic"], date(2024, 1, 2), date(2024, 1, 30))
 WORDS = "the of and"
-PHRASE = "this is the"
+PHRASE = "in the"
 
 
 def query(oracle: str | None = None):
@@ -182,7 +182,7 @@ def quoted_search(spark, sf_dir):
 
 @query()
 def fuzzy_phrase(spark, sf_dir):
-    passage = " ".join(read(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"].split()[:9])
+    passage = " ".join(read(spark, sf_dir, "documents").orderBy("doc_id").first()["text"].split()[20:29])
     rows = S.phrase_evidence(from_tables(spark, sf_dir).chunks, passage, ratio_to(passage))
     return rows.select("item_id", "chunk_ix", F.round("ratio", 4).alias("ratio"), F.round("score", 4).alias("score"))
 

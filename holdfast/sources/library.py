@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.text import chunk_array, content_hash, default_label
 
+#: Chunks are numbered within their item.
+CHUNKS_OF_ITEM = 1_000_000
 KINDS = ("text", "audio", "video", "image")
 STATUSES = ("pending", "processing", "ready", "failed")
 JOB_STATUSES = ("queued", "running", "done", "failed")
@@ -33,9 +35,11 @@ class Library:
 
     @property
     def chunks(self) -> DataFrame:
-        """chunk_id, item_id, chunk_ix, chunk_text."""
+        """chunk_id, item_id, chunk_ix, chunk_text: those stored, or made from the items."""
+        if "chunks" in self.extra:
+            return self.extra["chunks"]
         rows = self.items.where("body is not null").select("id", F.posexplode(chunk_array(F.col("body"))).alias("chunk_ix", "chunk_text"))
-        return rows.select((F.col("id") * 1000 + F.col("chunk_ix")).alias("chunk_id"), F.col("id").alias("item_id"), "chunk_ix", "chunk_text")
+        return rows.select((F.col("id") * CHUNKS_OF_ITEM + F.col("chunk_ix")).alias("chunk_id"), F.col("id").alias("item_id"), "chunk_ix", "chunk_text")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,7 +149,7 @@ SQL = {
     "frames": """frames AS (SELECT vec_id AS id, vec_id % (SELECT count(*) FROM documents) AS item_id, (vec_id % 60)::DOUBLE AS ts_s, 'frames/' || vec_id || '.webp' AS path FROM embeddings WHERE vec_id % 3 <> 0)""",
     "segments": """segments AS (SELECT conv_id AS item_id, turn AS ix, turn * 10.0::DOUBLE AS start, text FROM conversations)""",
     "words": """words AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w, text FROM documents)""",
-    "chunks": """chunks AS (SELECT id * 1000 + ix AS chunk_id, id AS item_id, ix::INTEGER AS chunk_ix,
+    "chunks": """chunks AS (SELECT id * 1000000 + ix AS chunk_id, id AS item_id, ix::INTEGER AS chunk_ix,
   CASE WHEN len(w) <= 180 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE array_to_string(w[ix * 140 + 1:ix * 140 + 180], ' ') END AS chunk_text
   FROM (SELECT *, unnest(range(greatest((len(w) - 41) // 140, 0) + 1)) AS ix FROM words WHERE len(w) > 0))""",
 }
