@@ -176,6 +176,20 @@ def bm25(chunks: DataFrame, query: str, limit: int = BM25_ROWS) -> DataFrame:
     return rows.where(hit).select("chunk_id", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
+def bm25_indexed(index: DataFrame, stats: DataFrame, query: str, limit: int = BM25_ROWS) -> DataFrame:
+    """The same from stored postings and their stats (n, mean_length): reads the query's tokens only."""
+    hits = index.where(F.col("token").isin(query_tokens(query)))
+    df = settled(hits.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats)))  # a row for each token
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    return hits.join(F.broadcast(df), "token").groupBy("chunk_id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
+
+
+def chunk_stats(chunks: DataFrame) -> DataFrame:
+    """One row: n, mean_length in tokens."""
+    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("chunk_text")))).alias("mean_length"))
+
+
 def phrase_evidence(chunks: DataFrame, query: str, ratio, near: DataFrame | None = None, ids: DataFrame | None = None, prefilter: bool = False, n_words: int | None = None, words: DataFrame | None = None) -> DataFrame:
     """item_id, score, ratio, chunk_ix of the items whose chunks resemble the phrase.
 

@@ -143,6 +143,12 @@ def bm25_topk(spark, sf_dir):
     return S.bm25(from_tables(spark, sf_dir).chunks, WORDS).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(SQL["bm25_topk"])
+def bm25_from_postings(spark, sf_dir):
+    chunks = from_tables(spark, sf_dir).chunks
+    return S.bm25_indexed(S.postings(chunks), S.chunk_stats(chunks), WORDS).select("chunk_id", F.round("score", 6).alias("score"))
+
+
 @query(sql("chunks") + f", t AS (SELECT chunk_id, {TOKENS} AS t FROM chunks) SELECT token, chunk_id, length::INTEGER AS length, count(*) AS tf FROM (SELECT chunk_id, len(t) AS length, unnest(t) AS token FROM t) GROUP BY ALL")
 def postings(spark, sf_dir):
     return S.postings(from_tables(spark, sf_dir).chunks)
