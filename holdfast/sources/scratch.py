@@ -20,8 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Folders made by this process.
+MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/holdfast/{uuid.uuid4().hex}/{label}"
+    MADE.append(f"{shared_dir(spark)}/holdfast/{uuid.uuid4().hex}")
+    return f"{MADE[-1]}/{label}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this process has written; DataFrames that read it can't be used any more."""
+    while MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

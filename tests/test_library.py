@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from datetime import date
 
 import pytest
@@ -12,7 +13,7 @@ from holdfast.operators import library as ops
 from holdfast.operators import search as S
 from holdfast.plans import ingest, search
 from holdfast.queries import QUERIES, _vectors
-from holdfast.sources import files, store
+from holdfast.sources import files, scratch, store
 from holdfast.sources.library import from_tables
 from holdfast.streaming import jobs as stream
 
@@ -208,3 +209,13 @@ def test_job_recovery(spark):
 
 def test_every_query_is_registered_once():
     assert len(QUERIES) >= 60
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    df = scratch.materialise(spark.range(3).toDF("id"), "three")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 3 and os.path.exists(path)
+    before, scratch.MADE[:] = scratch.MADE[:-1], scratch.MADE[-1:]
+    scratch.clear_scratch(spark)
+    assert not os.path.exists(path)
+    scratch.MADE[:] = before
