@@ -1,42 +1,17 @@
-"""What the operators share: scratch tables, text expressions and limits of Arrow batches."""
+"""What the operators share: text expressions, limits of Arrow batches, and the library's scratch tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast.sources.scratch import materialise, scratch_path  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch: with texts of a few MB at most, a batch stays within tens of MB.
 ARROW_ROWS = "256"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, the warehouse, and a temporary folder in local mode."""
-    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        own = f"file://{tempfile.mkdtemp(prefix='holdfast-')}"
-    else:
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/holdfast/{uuid.uuid4().hex}/{label}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, and a lost executor costs only tasks."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the memory of Python workers when texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
