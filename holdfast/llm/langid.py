@@ -62,48 +62,53 @@ def _spread(total: Counter):
 
 
 class Model:
-    """languages; for words (0) and each length a dict of a token's log frequencies."""
+    """languages; for words (0) and each length of n-grams a token's row in a table of log frequencies, a column a language."""
 
     def __init__(self, rows: list[tuple[str, int, str, int]]):
         self.languages = sorted({r[0] for r in rows})
         at = {lang: i for i, lang in enumerate(self.languages)}
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        self.rows: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for _, length, token, _ in rows:
+            self.rows[length].setdefault(token, len(self.rows[length]))
+        self.logs = [np.zeros((len(r), len(at))) for r in self.rows]
         for lang, length, token, n in rows:
-            counts[length].setdefault(token, np.zeros(len(at)))[at[lang]] += n
-        self.logs: list[dict[str, np.ndarray]] = []
-        for c in counts:
-            total = sum(c.values()) if c else np.zeros(len(at))
-            self.logs.append({t: np.log((v + SMOOTHING) / (total + SMOOTHING * (len(c) + 1))) for t, v in c.items()})
+            self.logs[length][self.rows[length][token], at[lang]] += n
+        for i, counts in enumerate(self.logs):
+            self.logs[i] = np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * (len(counts) + 1)))
 
 
 class Scorer(dict):
-    """The sums of words, looked up or worked out."""
+    """Rows of words in a table that grows by the sums of unknown words."""
 
     def __init__(self, model: Model):
-        super().__init__(model.logs[0])
-        self.model, self.base, self.none = model, model.logs[0], np.zeros(len(model.languages))
+        super().__init__(model.rows[0])
+        self.model, n = model, len(model.rows[0])
+        self.table = np.zeros((n + REMEMBERED, len(model.languages)))
+        self.table[:n] = model.logs[0]
         self.words = re.compile(WORD)
 
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > len(self.base) + REMEMBERED:
-            self.clear()
-            self.update(self.base)
-        value = self.none
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        self[word] = at
+        self.table[at] = 0.0
         for k in range(LONGEST, 0, -1):
-            logs = self.model.logs[k]
-            if known := [logs[g] for g in grams(word, k) if g in logs]:
-                value = sum(known) / len(known)
+            rows = self.model.rows[k]
+            if known := [rows[g] for g in grams(word, k) if g in rows]:
+                self.table[at] = self.model.logs[k][known].mean(axis=0)
                 break
-        self[word] = value
-        return value
+        return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = self.words.findall((text or "").lower())
         if not words or not self.model.languages:
             return "und", 0.0
-        total = np.zeros(len(self.none))
-        for w, n in Counter(words).items():
-            total += n * self[w]
+        total = np.zeros(len(self.model.languages))
+        for i in range(0, len(words), REMEMBERED // 2):
+            part = words[i : i + REMEMBERED // 2]
+            if len(self) + len(part) > len(self.table):  # no row is given anew while it is in use
+                self.clear()
+                self.update(self.model.rows[0])
+            total += self.table[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
         total = (total - total.max()) / math.sqrt(len(words))
         p = np.exp(total)
         best = int(np.argmax(total))
