@@ -73,9 +73,9 @@ def settled(rows: DataFrame) -> DataFrame:
     """Rows that a limit or a fixed number bounds (a few hundred), worked out once and held by the plan.
 
     What follows refers to them more than once and joins them to each other, so a top-k over a large table is not made anew
-    for every reference.
+    for every reference. They are one partition: what groups and ranks them needs no exchange.
     """
-    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema).coalesce(1)
 
 
 def nearest(embeddings: DataFrame, space: str, query: list[float], k: int = K, ids: DataFrame | None = None, key: str = "vec_id") -> DataFrame:
@@ -110,7 +110,7 @@ def image_evidence(embeddings: DataFrame, queries: dict[str, list[float]], calib
     for s in queries:
         rows = settled(nearest(embeddings, s, queries[s], k, ids).select("item_id", "frame_id", "ts_s", F.lit(s).alias("space"), "cosine"))
         found = rows if found is None else found.unionByName(rows)
-    found = found.groupBy("item_id", "frame_id", "space").agg(F.max("cosine").alias("cosine"), F.max("ts_s").alias("ts_s"))
+    found = found.coalesce(1).groupBy("item_id", "frame_id", "space").agg(F.max("cosine").alias("cosine"), F.max("ts_s").alias("ts_s"))
     pool = found.groupBy("item_id", "frame_id").agg(F.max("cosine").alias("top"), F.max("ts_s").alias("ts_s"), F.collect_set("space").alias("have"))
     contenders = settled(pool.orderBy(F.desc("top"), "item_id", F.asc_nulls_first("frame_id")).limit(CONTENDERS))
     exact = F.lit(None).cast("double")
@@ -122,7 +122,7 @@ def image_evidence(embeddings: DataFrame, queries: dict[str, list[float]], calib
     filled = missing.select("e.item_id", "e.frame_id", "e.space", exact.alias("cosine"), "e.ts_s").groupBy("item_id", "frame_id", "space").agg(F.max("cosine").alias("cosine"), F.max("ts_s").alias("ts_s"))
     # at most a row for each contender and space
     filled = settled(filled)
-    scored = found.select("item_id", "frame_id", "space", "cosine", "ts_s").unionByName(filled).join(F.broadcast(calibrations), "space", "left")
+    scored = found.select("item_id", "frame_id", "space", "cosine", "ts_s").unionByName(filled).coalesce(1).join(F.broadcast(calibrations), "space", "left")
     scored = scored.withColumn("score", scoring.calibrated(F.col("cosine"), F.col("mean"), F.col("stddev")))
     keys = scored.groupBy("item_id", "frame_id").agg(F.avg("score").alias("score"), F.max("ts_s").alias("ts_s"), F.count(F.lit(1)).alias("n_spaces"))
     return best_per(keys, "item_id", [F.desc("score"), F.asc_nulls_first("frame_id")])
@@ -227,12 +227,12 @@ def exact_evidence(items: DataFrame, chunks: DataFrame, phrase: str, ids: DataFr
 
 
 def fuse(evidence: dict[str, DataFrame], columns: list[str]) -> DataFrame:
-    """item_id, source, score and the given columns: the best evidence of each item over the sources."""
+    """item_id, source, score and the given columns: the best evidence of each item over the sources, each of which a top-k bounds."""
     rows = None
     for source, found in evidence.items():
         own = found.select("item_id", F.lit(source).alias("source"), F.lit(PRIORITY[source]).alias("priority"), "score", *[F.col(c) if c in found.columns else F.lit(None).alias(c) for c in columns])
         rows = own if rows is None else rows.unionByName(own)
-    return best_per(rows, "item_id", [F.desc("score"), F.asc("priority")]).select("item_id", "source", "priority", "score", *columns)
+    return best_per(rows.coalesce(1), "item_id", [F.desc("score"), F.asc("priority")]).select("item_id", "source", "priority", "score", *columns)
 
 
 def nearest_frame(hits: DataFrame, frames: DataFrame) -> DataFrame:
