@@ -18,8 +18,11 @@ order of their texts; an empty table gives no file and no rows; other columns ar
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 
@@ -36,8 +39,8 @@ MAGIC, FOOTER = b"HFPLANE1", "<IIIIB8s"
 BLOCK, LEVEL, END_ID = 1 << 16, 3, 0
 #: Rows meant for a file, and the fewest and most files.
 FILE_ROWS, LEAST_FILES, MOST_FILES = 50_000, 12, 4096
-#: Pieces of text whose ids a task remembers (the store is emptied when full), and how many new ones go through the library as one text.
-REMEMBERED, JOINED = 700_000, 2048
+#: Pieces of text whose ids a worker remembers (the store is emptied when full), and how many new ones go through the library as one text.
+REMEMBERED, JOINED = 1_200_000, 2048
 #: Texts cut at a time: few, so that their pieces stay in the cache of the processor.
 TEXTS = 32
 
@@ -142,12 +145,27 @@ class Encoder:
         return out
 
 
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python worker: what a task has learnt serves the worker's next one."""
+    kept = sys.modules.setdefault("_holdfast_encoders", types.ModuleType("_holdfast_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def split_planes(ids: np.ndarray, kind: str) -> list[bytes]:
     """The planes of one block, lowest rank first."""
     octets = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
     if kind == "byte":
         return [octets[:, i].tobytes() for i in range(4)]
-    return [np.packbits((octets[:, i // 8] >> (i % 8)) & 1, bitorder="little").tobytes() if octets[:, i // 8].any() else b"" for i in range(32)]
+    out = []
+    for column in octets.T:
+        if column.any():
+            bits = np.unpackbits(column, bitorder="little").reshape(-1, 8)
+            out += [p.tobytes() for p in np.packbits(bits.T, axis=1, bitorder="little")]
+        else:
+            out += [b""] * 8
+    return out
 
 
 def join_planes(planes: dict[int, bytes], n: int, kind: str) -> np.ndarray:
@@ -244,6 +262,7 @@ def _write(folder: str, tokenizer: str, kind: str, end_id: int):
     def run(batches):
         from pyarrow.fs import FileSystem
 
+        gc.disable()  # a task makes many small objects and no cycles; the collector would walk the store of pieces again and again
         fs, root = FileSystem.from_uri(folder)
         own, end, writer, n_ids, n_docs, part, encoder = f"{root}/_{uuid.uuid4().hex}", np.array([end_id], "<u4").tobytes(), None, 0, 0, -1, None
         for b in batches:
@@ -251,7 +270,7 @@ def _write(folder: str, tokenizer: str, kind: str, end_id: int):
                 continue
             if writer is None:
                 fs.create_dir(root, recursive=True)
-                part, encoder, out = b.column(0)[0].as_py(), Encoder(tokenizer), fs.open_output_stream(own)
+                part, encoder, out = b.column(0)[0].as_py(), encoder_of(tokenizer), fs.open_output_stream(own)
                 writer = PlaneWriter(out, kind)
             for doc_id, ids in zip(b.column(1).to_pylist(), encoder.encode(b.column(2).to_pylist()), strict=True):
                 writer.add(doc_id, ids + end)
@@ -260,6 +279,7 @@ def _write(folder: str, tokenizer: str, kind: str, end_id: int):
             writer.close()
             out.close()
             fs.move(own, f"{root}/part-{part:05d}.planes")
+            gc.enable()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_ids": pa.array([n_ids], pa.int64()), "n_docs": pa.array([n_docs], pa.int64())})
 
     return run
