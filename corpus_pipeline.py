@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from holdfast.llm import decontaminate, minhash, mixing, quality_gam, sharding
 from holdfast.llm.common import materialise, table
 
+NEAR_PERCENT = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -18,8 +20,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return minhash.keep_one(docs)
+    """Of each group of near-duplicates (a similarity of NEAR_PERCENT or more) the document with the smallest id stays."""
+    return minhash.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ packed. Rows with equal sets are one class. Classes that share a band are candid
    agreement, is not below the threshold by more than SIGMAS standard deviations.
 
 All pairs of the three steps are confirmed on the full sets, and components follow from the confirmed links. Pairs inside a
-component that is already whole are left out, as they cannot change it; no others are. A pair at the threshold shares no
-band with probability (1 - 0.85^5)^25 < 1e-6.
+component that is already whole are left out, as they cannot change it; no others are. A pair at a similarity of 0.85 shares
+no band with probability (1 - 0.85^5)^25 < 1e-6, one at 0.8 with 5e-5.
 
 Defined results: an empty or null text has no shingles and is linked with nothing; fewer than five words are one shingle;
 repeated rows are in one component; null ids lose to any other; an empty table gives an empty table; other columns are
@@ -21,6 +21,8 @@ ignored. The input must be repeatable (files or a written table), as a row's pla
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -93,9 +95,9 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingle_set(t.as_py(), cache, SHINGLE) for t in b.column(1)])], names=["id", "shingles"])
 
 
-def _neighbours(batches):
+def _neighbours(percent: int, batches):
     """Pairs of rows at most NEIGHBOURS apart that share a band but no component and aren't ruled out by sizes and packed bits."""
-    most, words, kept = most_mismatches(), PERMUTATIONS * BITS // 64, None
+    most, words, kept = most_mismatches(percent / 100), PERMUTATIONS * BITS // 64, None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -110,7 +112,7 @@ def _neighbours(batches):
             x = bits[at] ^ bits[at - d]
             apart = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
             small, large = np.minimum(n[at], n[at - d]), np.maximum(n[at], n[at - d])
-            hit = at[(band[at] == band[at - d]) & (root[at] != root[at - d]) & (100 * small >= THRESHOLD_PERCENT * large) & (apart <= most)]
+            hit = at[(band[at] == band[at - d]) & (root[at] != root[at - d]) & (100 * small >= percent * large) & (apart <= most)]
             a.append(np.minimum(ids[hit], ids[hit - d]))
             b.append(np.maximum(ids[hit], ids[hit - d]))
         kept = tuple(r[-NEIGHBOURS:] for r in rows)
@@ -128,7 +130,7 @@ def mismatches(a: Column, b: Column) -> Column:
     return total
 
 
-def most_mismatches(threshold: float = THRESHOLD_PERCENT / 100) -> int:
+def most_mismatches(threshold: float) -> int:
     """With agreement by chance at 2^-BITS: more mismatches than that put a pair SIGMAS standard deviations below the threshold."""
     p = threshold + (1 - threshold) * 2.0**-BITS
     return int(PERMUTATIONS * (1 - p) + SIGMAS * (PERMUTATIONS * p * (1 - p)) ** 0.5)
@@ -140,21 +142,21 @@ def estimate(a: Column, b: Column) -> Column:
     return (1 - mismatches(a, b) / PERMUTATIONS - chance) / (1 - chance)
 
 
-def near(a: str, b: str) -> Column:
+def near(a: str, b: str, percent: int) -> Column:
     """Sizes that allow the threshold, and an estimate that doesn't rule it out."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (100 * F.least(n, m) >= THRESHOLD_PERCENT * F.greatest(n, m)) & (mismatches(F.col(f"{a}.bits"), F.col(f"{b}.bits")) <= most_mismatches())
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (mismatches(F.col(f"{a}.bits"), F.col(f"{b}.bits")) <= most_mismatches(percent / 100))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").withColumn("both", both).where(100 * F.col("both") >= THRESHOLD_PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_id, doc_id, n_shingles, component_id, kept, stays (exactly one row of each component) of every row."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """row_id, doc_id, n_shingles, component_id, kept, stays (exactly one row of each component) of every row; links from `percent` up."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = materialise(rows.mapInArrow(_sketches, SKETCH), "sketches")
@@ -169,12 +171,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = rows_of_bands.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("band", "centre")
     members = materialise(rows_of_bands.join(shared, "band"), "members")
     stars = members.where("id <> centre").select(F.col("id").alias("b"), F.col("centre").alias("a")).distinct()
-    stars = stars.join(narrow.alias("x"), F.col("a") == F.col("x.id")).join(narrow.alias("y"), F.col("b") == F.col("y.id")).where(near("x", "y")).select("a", "b")
+    stars = stars.join(narrow.alias("x"), F.col("a") == F.col("x.id")).join(narrow.alias("y"), F.col("b") == F.col("y.id")).where(near("x", "y", percent)).select("a", "b")
     stars = materialise(stars, "stars")
 
     ids = members.select("id").distinct()
     sets = materialise(rows.join(ids, F.col("row_id") == F.col("id")).select("id", "text").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-    links = materialise(confirmed(stars, sets), "links")
+    links = materialise(confirmed(stars, sets, percent), "links")
     found = components(links)
 
     def still_open() -> DataFrame:
@@ -185,8 +187,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     open_ = still_open()
     beside = open_.select("band", "bits", "id", "root", "n_shingles").repartitionByRange("band", "bits").sortWithinPartitions("band", "bits", "id")
-    beside = materialise(beside.mapInArrow(_neighbours, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "beside")
-    added = materialise(confirmed(beside, sets), "links")
+    beside = materialise(beside.mapInArrow(partial(_neighbours, percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "beside")
+    added = materialise(confirmed(beside, sets, percent), "links")
     if not added.isEmpty():
         links = links.unionByName(added)
         found = components(links)
@@ -194,10 +196,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     common = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
     first_band = F.element_at("x.bands", common.cast("int")) == F.col("x.band")
-    condition = (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & near("x", "y") & first_band
+    condition = (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & near("x", "y", percent) & first_band
     more = open_.alias("x").join(open_.alias("y"), condition).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     more = materialise(more.join(stars.unionByName(beside), ["a", "b"], "left_anti"), "more")
-    added = materialise(confirmed(more, sets), "links")
+    added = materialise(confirmed(more, sets, percent), "links")
     if not added.isEmpty():
         found = components(links.unionByName(added))
 
@@ -216,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns."""
-    gone = materialise(near_duplicates(docs, id_col, text_col).where("not stays").select(F.col("row_id").alias("__gone")), "gone")
+    gone = materialise(near_duplicates(docs, id_col, text_col, percent).where("not stays").select(F.col("row_id").alias("__gone")), "gone")
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
