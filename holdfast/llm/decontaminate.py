@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become tokens in two forms. `typed`: numbers, units after numbers, and capitalised words inside sentences are
-placeholders that keep their values as slots; all else is in lower case. `plain`: all tokens in lower case. Windows of WINDOW
+Texts become tokens in three forms. `typed`: numbers, units after numbers, and capitalised words inside sentences are
+placeholders that keep their values as slots; all else is in lower case. `named`: so are capitalised words at the start of
+sentences, as names may stand there too. `plain`: all tokens in lower case. Windows of WINDOW
 tokens of the benchmark are hash-joined to those of the documents. Hits of an item on one diagonal (place in the document less
 place in the item) form an alignment; a typed alignment counts if its slots are consistent: each value of the item stands
 for one value of the document and the other way round. A document is contaminated by an item of which the counting
@@ -12,8 +13,8 @@ The hashes of the benchmark's windows go to the tasks if there are at most SENT
 emitted; with more, every window is emitted and the join does all the work.
 
 Defined results: null or empty texts have no windows; an item of fewer than WINDOW tokens is one window of its own length;
-typed windows of the benchmark with fewer than LITERALS tokens that are no placeholders are left out, and an item without
-typed windows has its plain form only; repeated rows give repeated results; null ids stay null; empty tables give an
+typed and named windows of the benchmark with fewer than LITERALS tokens that are no placeholders are left out, an item
+without such windows has its plain form only, and one without capitalised starts has no named form; repeated rows give repeated results; null ids stay null; empty tables give an
 empty table; other columns are ignored. The input must be repeatable (files or a written table).
 """
 
@@ -34,7 +35,7 @@ WINDOW, COVERAGE, LITERALS = 5, 0.8, 2
 SENT = 2_000_000
 #: Rows meant for an emitted batch.
 EMITTED = 4096
-PLAIN, TYPED = 0, 1
+PLAIN, TYPED, NAMED = 0, 1, 2
 NUMBER, UNIT, NAME = b"\0n", b"\0u", b"\0p"
 #: Units of measure and money, in lower case.
 UNITS = """
@@ -49,15 +50,16 @@ MATCHES = "row_id long, doc_id long, hash long, form int, place int, slots array
 
 
 class Canon:
-    """The two forms of a text: hashes of tokens, and the values of the typed form's slots by place."""
+    """The three forms of a text: hashes of tokens, and the slots of each form by place."""
 
     def __init__(self):
         self.cache, self.units = WordHashes(), frozenset(UNITS.split())
 
-    def tokens(self, text: str | None) -> tuple[list[str], dict[int, bytes]]:
-        """Tokens in lower case, and the placeholders by place."""
+    def tokens(self, text: str | None) -> tuple[list[str], dict[int, bytes], dict[int, bytes]]:
+        """Tokens in lower case, the placeholders by place, and those of capitalised starts."""
         out: list[str] = []
         slots: dict[int, bytes] = {}
+        starts: dict[int, bytes] = {}
         start = True
         for t in TOKEN.findall(text or ""):
             if t in ".!?\n":
@@ -67,19 +69,22 @@ class Canon:
                 slots[len(out)] = NUMBER
             elif slots.get(len(out) - 1) == NUMBER and t.lower() in self.units:
                 slots[len(out)] = UNIT
-            elif not start and t[0].isupper() and not t.isupper():
-                slots[len(out)] = NAME
+            elif t[0].isupper() and not t.isupper():
+                (starts if start else slots)[len(out)] = NAME
             out.append(t.lower())
             start = False
-        return out, slots
+        return out, slots, starts
 
-    def forms(self, text: str | None) -> tuple[list[str], dict[int, bytes], list[np.ndarray]]:
-        tokens, slots = self.tokens(text)
+    def forms(self, text: str | None) -> tuple[list[str], list[dict[int, bytes]], list[np.ndarray]]:
+        tokens, slots, starts = self.tokens(text)
         plain = self.cache.of([t.encode("utf-8", "surrogatepass") for t in tokens])
         typed = plain.copy()
         for i, kind in slots.items():
             typed[i] = self.cache[kind]
-        return tokens, slots, [plain, typed]
+        named = typed.copy()
+        for i, kind in starts.items():
+            named[i] = self.cache[kind]
+        return tokens, [{}, slots, slots | starts], [plain, typed, named]
 
 
 def _hashes(form: np.ndarray, k: int) -> np.ndarray:
@@ -105,16 +110,16 @@ def _items(batches):
             k = min(WINDOW, len(tokens))
             if not k:
                 continue
-            # a typed form whose windows all lack literals would match anything; one without slots is the plain form
-            masks = [np.ones(len(tokens) - k + 1, bool), np.ones(len(tokens) - k + 1, bool) if slots else None]
-            literal = k - np.convolve([i in slots for i in range(len(tokens))], np.ones(k, int), "valid")
-            for form in (PLAIN, TYPED):
-                if masks[form] is None:
+            for form in (PLAIN, TYPED, NAMED):
+                # without slots of its own a form is the one before
+                if form != PLAIN and len(slots[form]) == len(slots[form - 1]):
                     continue
-                mask = masks[form] if form == PLAIN else literal >= min(LITERALS, k)
-                n = int(mask.sum())
+                # a form whose windows all lack literals would match anything
+                literal = k - np.convolve([i in slots[form] for i in range(len(tokens))], np.ones(k, int), "valid")
+                mask = literal >= min(LITERALS, k)
+                n, h = int(mask.sum()), _hashes(forms[form], k)
                 for p in np.nonzero(mask)[0].tolist():
-                    rows.append((item_id, int(_hashes(forms[form], k)[p]), form, p, k, n, [tokens[i] for i in range(p, p + k) if i in slots] if form == TYPED else []))
+                    rows.append((item_id, int(h[p]), form, p, k, n, [tokens[i] for i in range(p, p + k) if i in slots[form]]))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())))],
             names=["item_id", "hash", "form", "item_place", "k", "n_windows", "item_slots"],
@@ -131,11 +136,16 @@ def _matches(lengths: list[int], wanted):
 
     def run(batches):
         canon, sought = Canon(), wanted.value if wanted is not None else None
+        if sought is not None:
+            # most windows are told apart from the sought ones by some of their bits
+            size = 2 ** max(16, len(sought).bit_length() + 4)
+            low, may = np.uint64(size - 1), np.zeros(size, bool)
+            may[sought.view(np.uint64) & low] = True
         rows: list[tuple] = []
         for b in batches:
             for row_id, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 tokens, slots, forms = canon.forms(text)
-                for form in (PLAIN, TYPED):
+                for form in (PLAIN, TYPED, NAMED):
                     for k in lengths:
                         h = _hashes(forms[form], k)
                         if not len(h):
@@ -143,10 +153,11 @@ def _matches(lengths: list[int], wanted):
                         if sought is None:
                             places = range(len(h))
                         else:
-                            at = np.searchsorted(sought, h)
-                            places = np.nonzero(sought[np.minimum(at, len(sought) - 1)] == h)[0].tolist() if len(sought) else []
+                            left = np.nonzero(may[h.view(np.uint64) & low])[0]
+                            at = np.searchsorted(sought, h[left])
+                            places = left[sought[np.minimum(at, len(sought) - 1)] == h[left]].tolist() if len(left) else []
                         for p in places:
-                            rows.append((row_id, doc_id, int(h[p]), form, p, [tokens[i] for i in range(p, p + k) if i in slots] if form == TYPED else []))
+                            rows.append((row_id, doc_id, int(h[p]), form, p, [tokens[i] for i in range(p, p + k) if i in slots[form]]))
                             if len(rows) >= EMITTED:
                                 yield _emit(rows)
                                 rows = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline as P
+from holdfast.llm import decontaminate
 from tests.llm.test_operators import fold, write
 
 R = random.Random(11)
@@ -51,3 +52,18 @@ def test_near_duplicate_stage_at_80_percent(spark, tmp_path):
     got = sorted(r.doc_id for r in P.drop_near_duplicates(spark, write(spark, tmp_path, rows), "").collect())
     assert got == kept_by_brute_force(rows, 80)
     assert got != kept_by_brute_force(rows, 85)
+
+
+SOLD = "Natalia sold 48 clips in April. Natalia then bought 12 pens for 3 dollars each. How many clips are left now?"
+
+
+def test_contamination_with_other_names_at_the_head_of_sentences(spark, tmp_path):
+    other = SOLD.replace("48", "57").replace("12", "19").replace(" 3 ", " 7 ")
+    same = other.replace("Natalia", "Maria")
+    two = other.replace("Natalia", "Maria", 1).replace("Natalia", "Anna")
+    rows = [(1, same, "en", "a", 1), (2, "Question: " + same, "en", "a", 1), (3, two, "en", "a", 1), (4, "Nothing of it. " + prose(40), "en", "a", 1), (5, "Some text. " + SOLD, "en", "a", 1)]
+    items = spark.createDataFrame([(1, SOLD)], "item_id long, text string")
+    df = write(spark, tmp_path, rows)
+    got = {r.doc_id: r.verdict for r in decontaminate.contaminated(df, items).collect()}
+    assert got == {1: "reparameterised", 2: "reparameterised", 5: "verbatim"}
+    assert {r.doc_id for r in decontaminate.clean_documents(df, items).collect()} == {3, 4}
