@@ -63,8 +63,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), "user_id", "n")
 
 
-def without_repeats(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+def without_repeats(events: DataFrame, keys: list[str], late: str | None = None) -> DataFrame:
+    """The first row of each key. With `late` keys are forgotten after that time and older rows go, which suits live events only:
+    the files of a replayed table may come in any order of time."""
+    return events.dropDuplicates(keys) if late is None else events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
 def run_once(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
