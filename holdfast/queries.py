@@ -357,7 +357,7 @@ NAME = r"""trim(regexp_replace(regexp_replace(trim(regexp_replace(substr(text, 1
 @query(f"SELECT doc_id AS id, sha256(text) AS hash, rtrim(substr({NAME}, 1, 80)) AS name FROM documents")
 def hashes_and_names(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), text.content_hash(F.col("text")).alias("hash"), text.safe_name(F.substring("text", 1, 120)).alias("name"))
+    return d.select(F.col("doc_id").alias("id"), text.content_hash(F.col("text")).alias("hash"), text.safe_name(F.col("text")).alias("name"))
 
 
 @query("SELECT doc_id AS id, source || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.txt' AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
