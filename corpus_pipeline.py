@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.llm import decontaminate, minhash, mixing, quality_gam, sharding
-from holdfast.llm.common import materialise, table
+from holdfast.llm.common import clear_scratch, table, write_table
+from holdfast.sources import scratch
 
 NEAR_PERCENT = 80
 
@@ -52,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage left in the shared folder goes when its result is written, and the result when the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), len(scratch.MADE)
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs, path = write_table(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        clear_scratch(spark, before, keep=(path,))
     return docs
