@@ -1,20 +1,42 @@
-"""What the operators share: text expressions, limits of Arrow batches, and the library's scratch tables."""
+"""What the operators share: text expressions, limits of Arrow batches, row numbers, and the library's scratch tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.sources.scratch import materialise, scratch_path  # noqa: F401
+from holdfast.sources.scratch import Scope, clear_scratch, materialise, remove, scratch_path, write_table  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of an Arrow batch: with texts of a few MB at most, a batch stays within tens of MB.
-ARROW_ROWS = "256"
+#: An Arrow batch ends at so many rows or bytes, whichever comes first; a single longer text is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = "256", "32m"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory of Python workers when texts are long."""
+    """Bounds the memory of Python workers when texts are long. Spark reads the settings when a plan runs, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores in front as set it apart from all columns, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(scope: Scope, docs: DataFrame, label: str = "numbered") -> tuple[DataFrame, str]:
+    """docs with a long column of a new name that names each row, and this name.
+
+    The numbers depend on how the input falls into partitions, which changes with the executors at hand. So they are written
+    together with the rows, once, and every step reads this table: no step numbers rows anew.
+    """
+    (name,) = fresh(docs.columns, "row_id")
+    return scope.write(docs.select(F.monotonically_increasing_id().alias(name), "*"), label), name
 
 
 def fold_ascii(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import materialise
+from holdfast.llm.common import Scope
 
 ROUNDS = 60
 
@@ -14,10 +14,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, root of every node of the links (columns a, b: long); the root is the smallest id of its component."""
+def components(links: DataFrame, scope: Scope | None = None) -> DataFrame:
+    """id, root of every node of the links (columns a, b: long); the root is the smallest id of its component. scope: one of its own, whose last table the result reads."""
+    scope = scope or Scope(links.sparkSession)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = materialise(edges, "edges")
+    edges = scope.write(edges, "edges")
     state = _state(edges)
     for _ in range(ROUNDS):
         if not state[0]:
@@ -27,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = scope.write(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        scope.release("edges", newest=True)
         before, state = state, _state(edges)
         if before == state:
             break
