@@ -4,39 +4,48 @@ Texts become tokens in three forms. `typed`: numbers, units after numbers, and c
 placeholders that keep their values as slots; all else is in lower case. `named`: so are capitalised words at the start of
 sentences, as names may stand there too. `plain`: all tokens in lower case. Windows of WINDOW
 tokens of the benchmark are hash-joined to those of the documents. Hits of an item on one diagonal (place in the document less
-place in the item) form an alignment; a typed alignment counts if its slots are consistent: each value of the item stands
-for one value of the document and the other way round. A document is contaminated by an item of which the counting
-alignments of one form cover COVERAGE of the windows: `verbatim` if by plain windows or by slots of equal values,
-`reparameterised` if values differ.
+place in the item) form a line; a typed line counts if its slots are consistent: each value of the item stands
+for one value of the document and the other way round. Lines on diagonals up to SHIFT apart that lie beside each other in
+the document, add windows to each other and have slots that are consistent together form an alignment, so tokens put in or left
+out do not break it, but pieces scattered over a document are not added up. A document is contaminated by an item of which
+one alignment covers COVERAGE of the windows of a form. The verdict comes from the slots of the alignment that covers most:
+`reparameterised` if values differ, else `verbatim`.
 
-The hashes of the benchmark's windows go to the tasks if there are at most SENT of them, so that other windows are not
-emitted; with more, every window is emitted and the join does all the work.
+A filter of the benchmark's windows (two bits each, at most FILTER_BYTES in all, however large the benchmark) goes to the tasks, so
+that nearly all other windows are not emitted; the join decides.
 
 Defined results: null or empty texts have no windows; an item of fewer than WINDOW tokens is one window of its own length;
 typed and named windows of the benchmark with fewer than LITERALS tokens that are no placeholders are left out, an item
-without such windows has its plain form only, and one without capitalised starts has no named form; repeated rows give repeated results; null ids stay null; empty tables give an
-empty table; other columns are ignored. The input must be repeatable (files or a written table).
+without such windows has its plain form only, and one without capitalised starts has no named form; repeated rows give
+repeated results; null ids stay null; empty tables give an empty table; other columns are ignored. `clean_documents` goes by the
+text: equal texts stay or go together.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import materialise, small_batches
-from holdfast.llm.shingles import WordHashes, windows
+from holdfast.llm.common import Scope, fresh, small_batches
+from holdfast.llm.shingles import windows
 
-WINDOW, COVERAGE, LITERALS = 5, 0.8, 2
-#: The most benchmark windows whose hashes are sent to the tasks (16 MB).
-SENT = 2_000_000
-#: Rows meant for an emitted batch.
-EMITTED = 4096
+WINDOW, COVERAGE, LITERALS, SHIFT = 5, 0.8, 2, 3
+#: Slices of the filter, bits of the smallest and of the largest one, and the bits meant for a window.
+SLICES, LEAST_BITS, MOST_BITS, BITS_A_WINDOW = 64, 10, 22, 32
+FILTER_BYTES = SLICES * 2**MOST_BITS // 8
+#: Rows meant for an emitted batch, and tokens that a task remembers.
+EMITTED, REMEMBERED = 4096, 400_000
 PLAIN, TYPED, NAMED = 0, 1, 2
-NUMBER, UNIT, NAME = b"\0n", b"\0u", b"\0p"
+BREAK, NUMBER, UNIT, CAPITAL = 1, 2, 4, 8
+#: What placeholders hash to: numbers, units, names.
+PLACEHOLDERS = tuple(np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\0n", b"\0u", b"\0p"))
 #: Units of measure and money, in lower case.
 UNITS = """
 mm cm m km in ft yd mi mg g kg t oz lb lbs ml l gal ms s sec secs min mins h hr hrs hour hours minute minutes second seconds
@@ -46,118 +55,159 @@ gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litre
 dollar dollars cent cents euro euros usd eur gbp
 """
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
-MATCHES = "row_id long, doc_id long, hash long, form int, place int, slots array<string>"
+MATCHES = "row_id long, doc_id long, digest string, hash long, form int, place int, slots array<string>"
+FOUND = "doc_id long, digest string, item_id long, coverage double, verdict string, n_places long"
 
 
-class Canon:
-    """The three forms of a text: hashes of tokens, and the slots of each form by place."""
+class Lexicon(dict):
+    """The number of a token; by number its hash in lower case and its kinds as bits."""
 
     def __init__(self):
-        self.cache, self.units = WordHashes(), frozenset(UNITS.split())
-
-    def tokens(self, text: str | None) -> tuple[list[str], dict[int, bytes], dict[int, bytes]]:
-        """Tokens in lower case, the placeholders by place, and those of capitalised starts."""
-        out: list[str] = []
-        slots: dict[int, bytes] = {}
-        starts: dict[int, bytes] = {}
-        start = True
-        for t in TOKEN.findall(text or ""):
-            if t in ".!?\n":
-                start = True
-                continue
-            if t[0].isdigit():
-                slots[len(out)] = NUMBER
-            elif slots.get(len(out) - 1) == NUMBER and t.lower() in self.units:
-                slots[len(out)] = UNIT
-            elif t[0].isupper() and not t.isupper():
-                (starts if start else slots)[len(out)] = NAME
-            out.append(t.lower())
-            start = False
-        return out, slots, starts
-
-    def forms(self, text: str | None) -> tuple[list[str], list[dict[int, bytes]], list[np.ndarray]]:
-        tokens, slots, starts = self.tokens(text)
-        plain = self.cache.of([t.encode("utf-8", "surrogatepass") for t in tokens])
-        typed = plain.copy()
-        for i, kind in slots.items():
-            typed[i] = self.cache[kind]
-        named = typed.copy()
-        for i, kind in starts.items():
-            named[i] = self.cache[kind]
-        return tokens, [{}, slots, slots | starts], [plain, typed, named]
+        self.units = frozenset(UNITS.split())
+        self.hash, self.kind = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
 
+    def __missing__(self, token: str) -> int:
+        at, low = len(self), token.lower()
+        if at == len(self.hash):
+            self.hash, self.kind = np.resize(self.hash, 2 * at), np.resize(self.kind, 2 * at)
+        self.hash[at] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
+        capital = token[0].isupper() and not token.isupper()
+        self.kind[at] = BREAK if token in ".!?\n" else NUMBER * token[0].isdigit() | UNIT * (low in self.units) | CAPITAL * capital
+        self[token] = at
+        return at
 
-def _hashes(form: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all windows of k tokens; none if there are fewer."""
-    return (windows(form, k) + np.full(1, k, np.uint64)).view(np.int64) if len(form) >= k else np.array([], np.int64)
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
+
+@dataclass
+class Forms:
+    """tokens as they stand; for each form the hashes of its tokens and where its placeholders are."""
+
+    tokens: list[str]
+    hashes: list[np.ndarray]
+    slots: list[np.ndarray]
 
+    def values(self, form: int, place: int, k: int) -> list[str]:
+        """The values of a window's slots, in lower case."""
+        return [self.tokens[i].lower() for i in range(place, place + k) if self.slots[form][i]]
 
-def _typed_mask(slots: dict[int, bytes], n: int, k: int) -> np.ndarray:
-    """Windows with a slot and at least LITERALS other tokens."""
-    at = np.zeros(n + 1, np.int64)
-    at[[i + 1 for i in slots]] = 1
-    filled = np.cumsum(at)
-    count = filled[k:] - filled[:-k] if n >= k else np.array([], np.int64)
-    return (count > 0) & (k - count >= min(LITERALS, k))
+
+def forms_of(text: str | None, lexicon: Lexicon) -> Forms:
+    raw = TOKEN.findall(text or "")
+    at = lexicon.numbers(raw)
+    kind = lexicon.kind[at]
+    ends = kind == BREAK
+    real = np.nonzero(~ends)[0]
+    kind, start, plain = kind[real], np.concatenate([[True], ends])[:-1][real], lexicon.hash[at[real]]
+    number = kind & NUMBER > 0
+    unit = (kind & UNIT > 0) & np.concatenate([[False], number])[:-1]
+    name = (kind & CAPITAL > 0) & ~number & ~unit
+    typed = plain.copy()
+    for where, value in zip((number, unit, name & ~start), PLACEHOLDERS, strict=True):
+        typed[where] = value
+    named = typed.copy()
+    named[name & start] = PLACEHOLDERS[2]
+    inside = number | unit | (name & ~start)
+    tokens = raw if len(real) == len(raw) else [raw[i] for i in real.tolist()]
+    return Forms(tokens, [plain, typed, named], [np.zeros(len(real), bool), inside, inside | name])
+
+
+def _hashes(form: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all windows of k tokens; none if there are fewer."""
+    return windows(form, k) + np.uint64(k) if len(form) >= k else np.array([], np.uint64)
 
 
 def _items(batches):
-    canon = Canon()
+    lexicon = Lexicon()
     for b in batches:
         rows = []
         for item_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            tokens, slots, forms = canon.forms(text)
-            k = min(WINDOW, len(tokens))
+            forms = forms_of(text, lexicon)
+            k = min(WINDOW, len(forms.tokens))
             if not k:
                 continue
             for form in (PLAIN, TYPED, NAMED):
                 # without slots of its own a form is the one before
-                if form != PLAIN and len(slots[form]) == len(slots[form - 1]):
+                if form != PLAIN and (forms.slots[form] == forms.slots[form - 1]).all():
                     continue
                 # a form whose windows all lack literals would match anything
-                literal = k - np.convolve([i in slots[form] for i in range(len(tokens))], np.ones(k, int), "valid")
-                mask = literal >= min(LITERALS, k)
-                n, h = int(mask.sum()), _hashes(forms[form], k)
-                for p in np.nonzero(mask)[0].tolist():
-                    rows.append((item_id, int(h[p]), form, p, k, n, [tokens[i] for i in range(p, p + k) if i in slots[form]]))
+                mask = k - np.convolve(forms.slots[form], np.ones(k, int), "valid") >= min(LITERALS, k)
+                n, h = int(mask.sum()), _hashes(forms.hashes[form], k).view(np.int64)
+                rows += [(item_id, int(h[p]), form, p, k, n, forms.values(form, p, k)) for p in np.nonzero(mask)[0].tolist()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())))],
             names=["item_id", "hash", "form", "item_place", "k", "n_windows", "item_slots"],
         )
 
 
-def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def item_windows(scope: Scope, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    return materialise(rows.mapInArrow(_items, "item_id long, hash long, form int, item_place int, k int, n_windows int, item_slots array<string>"), "items")
+    return scope.write(rows.mapInArrow(_items, "item_id long, hash long, form int, item_place int, k int, n_windows int, item_slots array<string>"), "items")
+
+
+class Sieve:
+    """Two bits for each hash, in the slice that its upper bits name."""
+
+    def __init__(self, bits: int, slices: dict[int, bytes]):
+        self.bits = np.uint64(bits)
+        self.table = np.zeros(SLICES * 2**bits // 8, np.uint8)
+        for i, octets in slices.items():
+            self.table[i * 2**bits // 8 : (i + 1) * 2**bits // 8] = np.frombuffer(octets, np.uint8)
+
+    @staticmethod
+    def probes(h: np.ndarray, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        mask = (np.uint64(1) << bits) - np.uint64(1)
+        return h & mask, (h >> np.uint64(29)) & mask
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where hashes may be among the sought ones."""
+        left = np.arange(len(h))
+        for probe in (0, 1):
+            own = h[left]
+            at = (own >> np.uint64(58) << self.bits) | self.probes(own, self.bits)[probe]
+            left = left[(self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        return left
+
+
+def _slices(bits: int):
+    def run(batches):
+        made: dict[int, np.ndarray] = {}
+        for b in batches:
+            h = b.column(0).to_numpy().view(np.uint64)
+            part = (h >> np.uint64(58)).astype(np.int64)
+            for i in np.unique(part).tolist():
+                own = made.setdefault(i, np.zeros(2**bits, bool))
+                for at in Sieve.probes(h[part == i], np.uint64(bits)):
+                    own[at] = True
+        for i, own in made.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "octets": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    return run
+
+
+def sieve(items: DataFrame, n: int) -> Sieve:
+    """At most FILTER_BYTES reach the driver: a row for each slice, made by one task."""
+    bits = min(max((BITS_A_WINDOW * n // SLICES).bit_length(), LEAST_BITS), MOST_BITS)
+    rows = items.select("hash").repartition(SLICES, F.shiftrightunsigned("hash", 58)).mapInArrow(_slices(bits), "slice int, octets binary")
+    return Sieve(bits, {r.slice: r.octets for r in rows.collect()})
 
 
-def _matches(lengths: list[int], wanted):
-    """wanted: a broadcast sorted array of hashes, or None for all windows."""
+def _matches(lengths: list[int], sought):
+    """sought: a broadcast Sieve."""
 
     def run(batches):
-        canon, sought = Canon(), wanted.value if wanted is not None else None
-        if sought is not None:
-            # most windows are told apart from the sought ones by some of their bits
-            size = 2 ** max(16, len(sought).bit_length() + 4)
-            low, may = np.uint64(size - 1), np.zeros(size, bool)
-            may[sought.view(np.uint64) & low] = True
-        rows: list[tuple] = []
+        lexicon, rows = Lexicon(), []
         for b in batches:
-            for row_id, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                tokens, slots, forms = canon.forms(text)
+            for row_id, doc_id, digest, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                forms = forms_of(text, lexicon)
                 for form in (PLAIN, TYPED, NAMED):
                     for k in lengths:
-                        h = _hashes(forms[form], k)
-                        if not len(h):
-                            continue
-                        if sought is None:
-                            places = range(len(h))
-                        else:
-                            left = np.nonzero(may[h.view(np.uint64) & low])[0]
-                            at = np.searchsorted(sought, h[left])
-                            places = left[sought[np.minimum(at, len(sought) - 1)] == h[left]].tolist() if len(left) else []
-                        for p in places:
-                            rows.append((row_id, doc_id, int(h[p]), form, p, [tokens[i] for i in range(p, p + k) if i in slots[form]]))
+                        h = _hashes(forms.hashes[form], k)
+                        for p in sought.value.places(h).tolist():
+                            rows.append((row_id, doc_id, digest, int(h[p].view(np.int64)), form, p, forms.values(form, p, k)))
                             if len(rows) >= EMITTED:
                                 yield _emit(rows)
                                 rows = []
@@ -167,42 +217,121 @@ def _matches(lengths: list[int], wanted):
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["row_id", "doc_id", "hash", "form", "place", "slots"])
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["row_id", "doc_id", "digest", "hash", "form", "place", "slots"])
+
+
+@dataclass
+class Alignment:
+    """Lines of one form that lie together: places of the item, text from first to last, the last diagonal, slots both ways."""
+
+    first: int
+    last: int
+    diagonal: int
+    places: set[int] = field(default_factory=set)
+    there: dict[str, str] = field(default_factory=dict)
+    back: dict[str, str] = field(default_factory=dict)
+
+    def agrees(self, pairs: list[tuple[str, str]]) -> bool:
+        there, back = dict(self.there), dict(self.back)
+        return all(there.setdefault(i, d) == d and back.setdefault(d, i) == i for i, d in pairs)
+
+    def take(self, first: int, last: int, diagonal: int, places: set[int], pairs: list[tuple[str, str]]) -> None:
+        self.first, self.last, self.diagonal = min(self.first, first), max(self.last, last), diagonal
+        self.places |= places
+        self.there.update(pairs)
+        self.back.update((d, i) for i, d in pairs)
+
+    @property
+    def differs(self) -> bool:
+        return any(i != d for i, d in self.there.items())
+
+
+def aligned(lines: list[tuple[int, list[int], list[tuple[str, str]]]], k: int) -> list[Alignment]:
+    """Alignments of one item's lines (diagonal, places, pairs of slots) in ascending order of diagonals."""
+    out: list[Alignment] = []
+    live: list[Alignment] = []
+    for diagonal, places, pairs in lines:
+        own, first, last = set(places), min(places) + diagonal, max(places) + diagonal + k - 1
+        live = [a for a in live if diagonal - a.diagonal <= SHIFT]
+        beside = [a for a in live if first <= a.last + WINDOW + SHIFT and last >= a.first - WINDOW - SHIFT and own - a.places and a.agrees(pairs)]
+        if beside:
+            best = max(beside, key=lambda a: len(own - a.places))
+        else:
+            best = Alignment(first, last, diagonal)
+            if not best.agrees(pairs):
+                continue
+            out.append(best)
+            live.append(best)
+        best.take(first, last, diagonal, own, pairs)
+    return out
+
+
+def judged(forms: dict[int, tuple[int, list[Alignment]]]) -> tuple[float, str, int] | None:
+    """coverage, verdict and number of places of one item in one document; forms: its windows and alignments by form."""
+    found = {f: [(len(a.places) / n, not a.differs) for a in all_ if len(a.places) >= COVERAGE * n] for f, (n, all_) in forms.items()}
+    every = [x for own in found.values() for x in own]
+    if not every:
+        return None
+    coverage, same = max(every)
+    return coverage, "verbatim" if same else "reparameterised", max(map(len, found.values()))
+
+
+def _judge(batches: Iterator[pa.RecordBatch]):
+    """Lines in the order of document row, item, form and diagonal."""
+    key, forms, lines, out = None, {}, [], []
+
+    def end_form():
+        if lines:
+            forms[key[4]] = (key[5], aligned(lines, key[6]))
+
+    def end_item():
+        end_form()
+        if key is not None and (got := judged(forms)) is not None:
+            out.append((key[1], key[2], key[3], *got))
+
+    def flush():
+        types = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "digest", "item_id", "coverage", "verdict", "n_places"])
+
+    for b in batches:
+        for row in b.to_pylist():
+            now = (row["row_id"], row["doc_id"], row["digest"], row["item_id"], row["form"], row["n_windows"], row["k"])
+            if key is None or (now[0], now[3]) != (key[0], key[3]):
+                end_item()
+                key, forms, lines = now, {}, []
+            elif now[4] != key[4]:
+                end_form()
+                key, lines = now, []
+            lines.append((row["diagonal"], row["places"], [(i, d) for x in row["pairs"] for i, d in zip(x["i"], x["d"], strict=True)]))
+        yield flush()
+        out = []
+    end_item()
+    yield flush()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_id, doc_id, item_id, coverage double, verdict string, n_places long: one row for each document and item that it contains."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: Scope | None = None) -> DataFrame:
+    """doc_id, digest (SHA-256 of the text), item_id, coverage double, verdict string, n_places long: one row for each document and item that it contains."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = item_windows(benchmark)
-    lengths = sorted(r.k for r in items.select("k").distinct().collect())
-    n = items.count()
-    wanted = None
-    if n <= SENT:
-        wanted = spark.sparkContext.broadcast(np.unique(np.array([r.hash for r in items.select("hash").distinct().collect()], np.int64)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(_matches(lengths, wanted), MATCHES)
-    hits = found.join(items, ["hash", "form"]).withColumn("diagonal", F.col("place") - F.col("item_place"))
-    key = ["row_id", "doc_id", "item_id", "form"]
-    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    lines = hits.groupBy(*key, "diagonal", "n_windows").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    count = F.size("pairs")
-    consistent = (F.size(F.array_distinct(F.col("pairs.i"))) == count) & (F.size(F.array_distinct(F.col("pairs.d"))) == count)
-    differs = F.exists("pairs", lambda p: p["i"] != p["d"])
-    lines = lines.where(consistent).withColumn("differs", differs)
-    forms = lines.groupBy(*key, "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered"),
-        F.max("differs").alias("differs"),
-        F.count(F.lit(1)).alias("n_places"),
-    )
-    forms = forms.withColumn("coverage", F.col("covered") / F.col("n_windows")).where(F.col("coverage") >= COVERAGE)
-    best = forms.groupBy("row_id", "doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.min("differs").alias("differs"), F.max("n_places").alias("n_places"))
-    return best.select("row_id", "doc_id", "item_id", "coverage", F.when(F.col("differs"), "reparameterised").otherwise("verbatim").alias("verdict"), "n_places")
+    items = item_windows(scope or Scope(spark), benchmark)
+    lengths = [(r.k, r.n) for r in items.groupBy("k").agg(F.count(F.lit(1)).alias("n")).orderBy("k").collect()]  # WINDOW rows at most
+    sent = spark.sparkContext.broadcast(sieve(items, sum(n for _, n in lengths)))
+    text = F.col(text_col).cast("string")
+    # rows are numbered for this pass only
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text"))
+    hits = rows.mapInArrow(_matches([k for k, _ in lengths], sent), MATCHES).join(items, ["hash", "form"]).withColumn("diagonal", F.col("place") - F.col("item_place"))
+    own = ["row_id", "doc_id", "digest", "item_id", "form", "n_windows", "k", "diagonal"]
+    pair = F.struct(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
+    lines = hits.repartition("row_id", "item_id").groupBy(*own).agg(F.collect_set("item_place").alias("places"), F.collect_set(pair).alias("pairs"))
+    return lines.sortWithinPartitions("row_id", "item_id", "form", "diagonal").mapInArrow(_judge, FOUND)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    bad = materialise(contaminated(docs, benchmark, id_col, text_col).select(F.col("row_id").alias("__bad")).distinct(), "contaminated")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    return rows.join(bad, F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
+    scope = Scope(docs.sparkSession)
+    own, gone = fresh(docs.columns, "digest", "gone")
+    bad = scope.write(contaminated(docs, benchmark, id_col, text_col, scope).select(F.col("digest").alias(gone)).distinct(), "contaminated")
+    scope.release("contaminated")
+    rows = docs.withColumn(own, F.sha2(F.col(text_col).cast("string").cast("binary"), 256))
+    return rows.join(bad, F.col(own) == F.col(gone), "left_anti").drop(own)
