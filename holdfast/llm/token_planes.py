@@ -1,7 +1,8 @@
 """Token ids in files of bit-shuffled blocks.
 
-A text is encoded by the tokenizers library, and an end id is appended. Texts are dealt out by quantiles of their ids, so
-the files together hold all ids in ascending order of the documents. A file holds blocks of BLOCK ids; of a block, the
+A text is encoded by the tokenizers library, and an end id is appended. Texts are dealt out by quantiles of a sample of their ids weighed by
+their sizes, about FILE_BYTES of text a file, so the files together hold all ids in ascending order of the documents; an id (or null) with more
+rows than a file takes is dealt out to several. A file holds blocks of BLOCK ids; of a block, the
 bits (or bytes) of equal rank are gathered into planes, and each plane is compressed by zstandard. Planes of zeros take
 no room. Layout, all numbers little-endian:
 
@@ -12,7 +13,7 @@ no room. Layout, all numbers little-endian:
 A task writes under a name of its own and moves the file to its final name when whole, so a repeated task replaces it by
 the same bytes. Files are written and read through pyarrow's file systems, by the URI of the folder.
 
-Defined results: a null text is the empty text and has the end id only; null ids come first; rows with one id stand in
+Defined results: a null text is the empty text and has the end id only; null ids come first; rows with one id stand together, inside a file in
 order of their texts; an empty table gives no file and no rows; other columns are ignored.
 """
 
@@ -21,26 +22,26 @@ from __future__ import annotations
 import gc
 import re
 import struct
-import sys
-import types
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import materialise, scratch_path, small_batches
-from holdfast.llm.sharding import range_of
+from holdfast.llm.common import Scope, numbered, scratch_path, small_batches
+from holdfast.llm.sharding import Cells
 
 MAGIC, FOOTER = b"HFPLANE1", "<IIIIB8s"
 BLOCK, LEVEL, END_ID = 1 << 16, 3, 0
-#: Rows meant for a file, and the fewest and most files.
-FILE_ROWS, LEAST_FILES, MOST_FILES = 50_000, 12, 4096
-#: Pieces of text whose ids a worker remembers (the store is emptied when full), and how many new ones go through the library as one text.
-REMEMBERED, JOINED = 1_200_000, 2048
+#: Bytes of text meant for a file, and the fewest files.
+FILE_BYTES, LEAST_FILES = 1 << 28, 12
+#: What a worker remembers of pieces of text and their ids: bytes in all (as far as they are counted, the store is emptied when full), and in a piece.
+REMEMBERED, LONGEST_PIECE = 192 << 20, 64
+#: Bytes that a piece in the store takes beside its characters and ids, and how many new pieces go through the library as one text.
+ENTRY, JOINED = 150, 2048
 #: Texts cut at a time: few, so that their pieces stay in the cache of the processor.
 TEXTS = 32
 
@@ -82,13 +83,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: By piece without its space; a text's first piece stands after a zero character.
         self.line_feed = self._ids(["\n"])[0].tobytes()
-        self.known: dict[str, bytes] = {"\n": self.line_feed}
+        self.known: dict[str, bytes] = {}
+        self.held = REMEMBERED
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         # in the byte-level alphabet a character is a byte
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.size[i] = len(token)
 
+    def _keep(self, pieces: dict[str, bytes]) -> None:
+        self.known.update(pieces)
+        self.held += len(pieces) * ENTRY + sum(map(len, pieces)) + sum(map(len, pieces.values()))
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -99,7 +105,8 @@ class Encoder:
             return False
         return not any(c in text and (not ord(c) or f" {c}" in text or f"{c} " in text) for c in RARE)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learnt(self, pieces: list[str]):
+        """Each piece and its ids."""
         for i in range(0, len(pieces), JOINED):
             part = pieces[i : i + JOINED]
             text = ["\n" + p[1:] if p[0] == "\0" else " " + p for p in part]
@@ -111,14 +118,14 @@ class Encoder:
             if not (len(ids) and (ends[last - 1] == stop).all()):
                 raise ValueError("the tokenizer joined pieces: not a byte-level one")
             raw = ids.tobytes()
-            self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, first.tolist(), last.tolist(), strict=True))
+            yield from ((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, first.tolist(), last.tolist(), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [ids for i in range(0, len(texts), TEXTS) for ids in self._encode(texts[i : i + TEXTS])]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {"\n": self.line_feed}
+        if self.held >= REMEMBERED:
+            self.known, self.held = {"\n": self.line_feed}, 0
         get, wanted, cut, whole = self.known.get, set(), [], []
         for t in texts:
             if not t or not self._plain(t):
@@ -132,25 +139,30 @@ class Encoder:
                 wanted.update([p for p, f in zip(pieces, found, strict=True) if f is None])
             cut.append((pieces, found))
         made = {p: atoms(p) for p in wanted}
-        self._learn(list({a for x in made.values() for a in x if a not in self.known}))
-        self.known.update((p, b"".join(map(get, x))) for p, x in made.items() if len(x) > 1)
+        new = dict(self._learnt(list({a for x in made.values() for a in x if a not in self.known})))
+        of = lambda a: new[a] if a in new else get(a)
+        new.update([(p, b"".join(map(of, x))) for p, x in made.items() if len(x) > 1])
+        # long pieces, such as sentences in scripts without spaces, hardly come again
+        self._keep({p: ids for p, ids in new.items() if len(p) <= LONGEST_PIECE})
         odd, out = iter(self._ids(whole)), []
         for c in cut:
             if c is None:
                 out.append(next(odd).tobytes())
             elif None in c[1]:
-                out.append(b"".join([get(p) if f is None else f for p, f in zip(*c, strict=True)]))
+                out.append(b"".join([new[p] if f is None else f for p, f in zip(*c, strict=True)]))
             else:
                 out.append(b"".join(c[1]))
         return out
 
 
+#: The encoders of this Python worker by tokenizer: what a task has learnt serves the worker's next one.
+ENCODERS: dict[str, Encoder] = {}
+
+
 def encoder_of(path: str) -> Encoder:
-    """The encoder of this Python worker: what a task has learnt serves the worker's next one."""
-    kept = sys.modules.setdefault("_holdfast_encoders", types.ModuleType("_holdfast_encoders")).__dict__
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 def split_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -191,10 +203,12 @@ class PlaneWriter:
         self.documents.append(struct.pack("<qBQ", doc_id or 0, doc_id is not None, len(ids) // 4))
         self.waiting.append(ids)
         self.n_waiting += len(ids) // 4
-        while self.n_waiting >= self.block:
-            joined = b"".join(self.waiting)
-            self._block(np.frombuffer(joined[: 4 * self.block], "<u4"))
-            self.waiting, self.n_waiting = [joined[4 * self.block :]], self.n_waiting - self.block
+        if self.n_waiting >= self.block:
+            joined = np.frombuffer(b"".join(self.waiting), "<u4")
+            whole = len(joined) // self.block * self.block
+            for i in range(0, whole, self.block):
+                self._block(joined[i : i + self.block])
+            self.waiting, self.n_waiting = [joined[whole:].tobytes()], len(joined) - whole
 
     def _block(self, ids: np.ndarray) -> None:
         mask, packed = 0, []
@@ -262,24 +276,30 @@ def _write(folder: str, tokenizer: str, kind: str, end_id: int):
     def run(batches):
         from pyarrow.fs import FileSystem
 
-        gc.disable()  # a task makes many small objects and no cycles; the collector would walk the store of pieces again and again
         fs, root = FileSystem.from_uri(folder)
-        own, end, writer, n_ids, n_docs, part, encoder = f"{root}/_{uuid.uuid4().hex}", np.array([end_id], "<u4").tobytes(), None, 0, 0, -1, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if writer is None:
-                fs.create_dir(root, recursive=True)
-                part, encoder, out = b.column(0)[0].as_py(), encoder_of(tokenizer), fs.open_output_stream(own)
-                writer = PlaneWriter(out, kind)
-            for doc_id, ids in zip(b.column(1).to_pylist(), encoder.encode(b.column(2).to_pylist()), strict=True):
-                writer.add(doc_id, ids + end)
-                n_ids, n_docs = n_ids + len(ids) // 4 + 1, n_docs + 1
+        own, end, writer, n_ids, n_docs, part = f"{root}/_{uuid.uuid4().hex}", np.array([end_id], "<u4").tobytes(), None, 0, 0, -1
+        # a task makes many small objects and no cycles; the collector would walk the store of pieces again and again
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                if writer is None:
+                    fs.create_dir(root, recursive=True)
+                    part, encoder, out = b.column(0)[0].as_py(), encoder_of(tokenizer), fs.open_output_stream(own)
+                    writer = PlaneWriter(out, kind)
+                for doc_id, ids in zip(b.column(1).to_pylist(), encoder.encode(b.column(2).to_pylist()), strict=True):
+                    writer.add(doc_id, ids + end)
+                    n_ids, n_docs = n_ids + len(ids) // 4 + 1, n_docs + 1
+            if writer is not None:
+                writer.close()
+                out.close()
+                fs.move(own, f"{root}/part-{part:05d}.planes")
+        finally:
+            if collects:
+                gc.enable()
         if writer is not None:
-            writer.close()
-            out.close()
-            fs.move(own, f"{root}/part-{part:05d}.planes")
-            gc.enable()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_ids": pa.array([n_ids], pa.int64()), "n_docs": pa.array([n_docs], pa.int64())})
 
     return run
@@ -308,36 +328,33 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "bit", end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "bit", end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the files; returns the manifest: part, n_ids, n_docs, base (ids in all files before)."""
     spark = docs.sparkSession
     small_batches(spark)
+    scope = Scope(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
-    files = min(max(LEAST_FILES, -(-n // FILE_ROWS)), MOST_FILES)
-    found = rows.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 50 * files).alias("q")).first()["q"]
-    part = range_of(F.col("doc_id"), sorted(set(found or [])))
-    dealt = rows.withColumn("part", part.cast("int")).repartitionById(files, "part").sortWithinPartitions("doc_id", "text")
-    done = materialise(dealt.select("part", "doc_id", "text").mapInArrow(_write(folder, tokenizer, kind, end_id), "part int, n_ids long, n_docs long"), "manifest")
-    # one row a file
-    bases, base = [], 0
-    for r in done.orderBy("part").collect():
-        bases.append((r.part, r.n_ids, r.n_docs, base))
-        base += r.n_ids
-    return spark.createDataFrame(bases, "part int, n_ids long, n_docs long, base long")
+    sizes, row = scope.write(rows.select("doc_id", (F.octet_length("text") + 8).cast("long").alias("size")), "sizes"), None
+    total, nulls = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("size"))), F.lit(0))).first()
+    cells = Cells(sizes, "doc_id", "size", max(LEAST_FILES, -(-total // file_bytes)), total, nulls, ["doc_id", "text", "size", "row_id"])
+    if cells.hot:
+        rows, row = numbered(scope, rows)
+        sizes = rows.select(row, "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"))
+    cells.subdivide(scope, sizes)
+    # a row for each file: the cells in their order are the files
+    files = cells.placed(sizes, row).select(*cells.names).distinct()
+    files = scope.write(files.withColumn("part", (F.row_number().over(Window.orderBy(*cells.names)) - 1).cast("int")), "files")
+    parted = cells.placed(rows, row).join(F.broadcast(files), cells.names).repartitionById(max(files.count(), 1), "part").sortWithinPartitions("doc_id", "text")
+    done = scope.write(parted.select("part", "doc_id", "text").mapInArrow(_write(folder, tokenizer, kind, end_id), "part int, n_ids long, n_docs long"), "manifest")
+    scope.release("manifest")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return done.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files, one task a file."""
     files = max(1, manifest.count())
-    numbered = manifest.select("part", "base").withColumn("n", F.row_number().over(_by_part()) - 1)
-    return numbered.repartitionById(files, F.col("n").cast("int")).select("part", "base").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def _by_part():
-    from pyspark.sql import Window
-
-    return Window.orderBy("part")
+    return manifest.repartitionById(files, "part").select("part", "base").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, kind: str = "bit", folder: str | None = None) -> DataFrame:
