@@ -89,7 +89,7 @@ FROM s
 
 OP8 = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS key FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w
   FROM d GROUP BY source),
@@ -104,7 +104,7 @@ t AS (
   SELECT source, source_size, CASE WHEN list_contains(full_, coalesce(source, chr(1))) THEN 3.0 * source_size ELSE level * w END::DOUBLE AS target FROM s, last_),
 r AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END::DOUBLE AS rate,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':8'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS coin
+    ('0x' || substr(md5(key || ':' || (row_number() OVER (PARTITION BY key) - 1) || ':8'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS coin
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies
 FROM (SELECT *, (floor(rate) + (coin < rate - floor(rate))::INTEGER)::BIGINT AS copies FROM r)
