@@ -1,12 +1,16 @@
 """License scans by diagonal voting.
 
 Templates are word sequences. All rolling word k-grams of a text (k as the templates have it) are hashed; those whose hash
-is a template's (a bounded set, sent to the tasks) are joined by Spark to the template positions and their words compared. Votes are
-summed by offset diagonal (place in the text less place in the template). Neighbouring diagonals, up to `shift` apart and with
-overlapping or adjoining spans, are merged, so words put in or left out do not break a match. A span is verified if it
+is a template's are joined by Spark to the template positions and their words compared. Votes are
+summed by offset diagonal (place in the text less place in the template): a line. Lines on neighbouring diagonals, up to `shift` apart, that
+overlap or adjoin in the text are merged if each adds words of the template that the other lacks, so words put in or left
+out do not break a match, while copies that stand one after the other stay apart. A span is verified if it
 covers the share of words that its template asks for (all words of a short one). Base phrases are templates with shift 0, so every
 whole diagonal is a place.
 
+The hashes of at most SENT_POSITIONS template positions go to the tasks, which then emit the grams that have one of them; with more
+templates every gram is emitted and the join does all the work.
+
 Words are runs outside \\x00-\\x2F, \\x3A-\\x60, \\x7B-\\x7F after lower-casing A-Z. Defined results: a null text is empty; a
 text without matches has 0 places, null first and last word, empty labels and score 0; repeated rows give repeated
 results; an empty table gives an empty table; other columns are ignored.
@@ -20,16 +24,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import small_batches
-from holdfast.llm.shingles import windows
+from holdfast.llm.shingles import WordHashes, windows
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LONG_K, SHORT_K, LONG_FROM, SHIFT, COVERAGE = 3, 2, 8, 3, 0.75
-#: Template positions up to which their table is broadcast.
-BROADCAST_ROWS = 100_000
+#: Template positions up to which their table and hashes are sent to the tasks (a few MB).
+SENT_POSITIONS = 100_000
 
 
 @dataclass(frozen=True)
@@ -109,9 +113,10 @@ def template_rows(templates) -> list[tuple]:
     return out
 
 
-def _hits(templates):
-    known = vocabulary(templates)
-    sought = {k: np.unique(np.array([r[6] for r in template_rows(templates) if r[4] == k], np.int64)) for k in sorted({t.k for t in templates})}
+def _hits(templates, sent: bool):
+    known = vocabulary(templates) if sent else WordHashes()
+    rows = template_rows(templates) if sent else []
+    sought = {k: np.unique(np.array([r[6] for r in rows if r[4] == k], np.int64)) for k in sorted({t.k for t in templates})}
 
     def run(batches):
         for b in batches:
@@ -122,8 +127,10 @@ def _hits(templates):
                 counts.append(len(words))
                 for k, all_ in sought.items():
                     at, hashes = gram_hashes(h, k)
-                    keep = np.isin(hashes, all_)
-                    flat += [(k, p, v, b" ".join(words[p : p + k]).decode("utf-8", "surrogatepass")) for p, v in zip(at[keep].tolist(), hashes[keep].tolist(), strict=True)]
+                    if sent:
+                        keep = np.isin(hashes, all_)
+                        at, hashes = at[keep], hashes[keep]
+                    flat += [(k, p, v, b" ".join(words[p : p + k]).decode("utf-8", "surrogatepass")) for p, v in zip(at.tolist(), hashes.tolist(), strict=True)]
                 ends.append(len(flat))
             hits = pa.StructArray.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["k", "at", "hash", "gram"])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits)], names=["row_id", "doc_id", "n_words", "hits"])
@@ -137,14 +144,87 @@ def positions(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
         [(*r, templates[r[0]].shift, templates[r[0]].coverage) for r in rows],
         "template int, label string, base boolean, n int, k int, place int, hash long, gram string, shift int, least double",
     )
-    return F.broadcast(found) if len(rows) <= BROADCAST_ROWS else found
+    return F.broadcast(found) if len(rows) <= SENT_POSITIONS else found
+
+
+@dataclass
+class Span:
+    first: int
+    last: int
+    diagonal: int
+    covered: set[int]
+
+
+def merged(lines: list[tuple[int, int, int, list[int]]], shift: int) -> list[Span]:
+    """Spans of one template's lines (first, last, diagonal, covered) in ascending order of their first words."""
+    out: list[Span] = []
+    live: list[Span] = []
+    for first, last, diagonal, covered in lines:
+        own = set(covered)
+        live = [s for s in live if shift and first <= s.last + shift + 1]
+        beside = [s for s in live if abs(diagonal - s.diagonal) <= shift and own - s.covered and s.covered - own]
+        if beside:
+            s = max(beside, key=lambda s: len(own - s.covered))
+            s.last, s.diagonal = max(s.last, last), diagonal
+            s.covered |= own
+        else:
+            live.append(Span(first, last, diagonal, own))
+            out.append(live[-1])
+    return out
+
+
+SPANS = "row_id long, doc_id long, n_words long, spans array<struct<label: string, base: boolean, first: long, last: long, coverage: double>>"
+
+
+def _spans(batches):
+    """One row for each text from its lines, which come in the order of text, template and first word."""
+    text, template, lines, found, out = None, None, [], [], []
+
+    def end_template():
+        if lines:
+            for s in merged(lines, template["shift"]):
+                coverage, length = len(s.covered) / template["n"], s.last - s.first + 1
+                if coverage >= template["least"] and length <= 1.5 * template["n"] + template["shift"]:
+                    found.append((template["label"], template["base"], s.first, s.last, coverage))
+
+    def end_text():
+        end_template()
+        if text is not None:
+            out.append((*text, sorted(found)))
+
+    def flush():
+        ends = np.cumsum([0] + [len(r[3]) for r in out], dtype=np.int32)
+        flat = [s for r in out for s in r[3]]
+        types = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
+        spans = pa.StructArray.from_arrays([pa.array([s[i] for s in flat], t) for i, t in enumerate(types)], names=["label", "base", "first", "last", "coverage"])
+        own = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
+        return pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends), spans)], names=["row_id", "doc_id", "n_words", "spans"])
+
+    for b in batches:
+        for row in b.to_pylist():
+            now = (row["row_id"], row["doc_id"], row["n_words"])
+            if text is None or now[0] != text[0]:
+                end_text()
+                text, template, lines, found = now, None, [], []
+            if row["template"] is None:
+                continue
+            if template is None or row["template"] != template["template"]:
+                end_template()
+                template, lines = row, []
+            lines.append((row["first"], row["last"], row["diagonal"], row["covered"]))
+        yield flush()
+        out = []
+    end_text()
+    yield flush()
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_id, doc_id, n_words, spans array<struct<label, base, first, last, coverage>> of every row; places count words from 0."""
     small_batches(docs.sparkSession)
+    # rows are numbered for this pass only
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hits = rows.mapInArrow(_hits(templates), "row_id long, doc_id long, n_words long, hits array<struct<k: int, at: long, hash: long, gram: string>>")
+    sent = len(template_rows(templates)) <= SENT_POSITIONS
+    hits = rows.mapInArrow(_hits(templates, sent), "row_id long, doc_id long, n_words long, hits array<struct<k: int, at: long, hash: long, gram: string>>")
     # all that follows is by row: one exchange of the few hits and of a row for each text
     hits = hits.repartition("row_id").select("row_id", "doc_id", "n_words", F.explode_outer("hits").alias("h"))
     hits = hits.select("row_id", "doc_id", "n_words", "h.k", "h.at", "h.hash", "h.gram").join(positions(docs.sparkSession, templates), ["k", "hash", "gram"], "left")
@@ -153,15 +233,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
     lines = hits.groupBy(*own, (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.min("at").alias("first"), F.max(F.col("at") + F.col("k") - 1).alias("last"), F.array_distinct(F.flatten(F.collect_list(words))).alias("covered")
     )
-    along = Window.partitionBy("row_id", "template").orderBy("first", "diagonal")
-    apart = (F.col("shift") == 0) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) > F.col("shift")) | (F.col("first") > F.lag("last").over(along) + F.col("shift") + 1)
-    lines = lines.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
-    lines = lines.withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = lines.groupBy(*own, "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"))
-    coverage = F.size("covered") / F.col("n")
-    fits = (coverage >= F.col("least")) & (F.col("last") - F.col("first") + 1 <= F.col("n") + F.col("n") / 2 + F.col("shift"))
-    span = F.when(fits, F.struct("label", "base", "first", "last", coverage.alias("coverage")))
-    return spans.groupBy("row_id", "doc_id", "n_words").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return lines.sortWithinPartitions("row_id", "template", "first", "diagonal").mapInArrow(_spans, SPANS)
 
 
 def digest(spans: DataFrame) -> DataFrame:
