@@ -2,7 +2,7 @@
 
 Three patterns give the base spans. Beyond them every run of LEAST or more characters that keys are made of is scored
 by two character Markov models, one of random strings and one of ordinary identifiers: the sum of the logarithms of the
-ratios of their transition probabilities. Above MARGIN it is a `markov` span. The models are counted from labelled samples;
+ratios of their transition probabilities. Above MARGIN in all and RATE a transition it is a `markov` span. The models are counted from labelled samples;
 `samples` makes some by rule, and any table of (text, label) can stand in for it.
 
 Defined results: a null text is empty and has no spans; places count code points, ends are exclusive; spans are sorted by start, then by
@@ -25,7 +25,9 @@ ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"(?<![0-9a-f])[0-9a-f]{24,}"
 VALUE = 6
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-MARGIN, SMOOTHING, SAMPLES, SEED = 8.0, 0.5, 6000, 9
+MARGIN, RATE, SMOOTHING, SAMPLES, SEED = 8.0, 0.5, 0.5, 6000, 9
+#: Matches in a block.
+BLOCK = 256
 #: Words from which ordinary identifiers are put together.
 WORDS = """
 get set user name file path data list item index count total value key table column row page view list order date time start
@@ -58,6 +60,7 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
         F.upper(F.concat_ws("_", *w[:3])),
         F.concat(w[0], F.lit("/"), w[1], F.lit("/"), w[2], pick(7, 100).cast("string")),
         F.rpad((F.xxhash64(F.col("id"), F.lit(11)).bitwiseAND(F.lit(2**62 - 1))).cast("string"), 16, "0"),
+        F.repeat(F.substring(F.lit(ALPHABET), pick(9, len(ALPHABET)) + 1, F.lit(1)), F.lit(20)),
     ]
     ordinary = F.element_at(F.array(*forms), pick(8, len(forms)) + 1)
     return rows.select(random.alias("text"), F.lit(1).alias("label")).unionByName(rows.select(ordinary.alias("text"), F.lit(0).alias("label")))
@@ -91,26 +94,42 @@ def log_ratio(text: Column, ratios: list[float]) -> Column:
     return F.aggregate(steps(codes(text)), F.lit(0.0), lambda total, x: total + x)
 
 
+def let(value: Column, of) -> Column:
+    """`of` a value that is worked out once, however often it stands in there."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def spans(text: Column, found: Column, pattern: str, kind: str, keep: Column) -> Column:
     """Structs (start, rank, stop) of all matches `found` of the pattern in the text for which `keep`, an array of booleans, is true.
 
-    The text between matches and the matches themselves give the places.
+    The text between matches and the matches themselves give the places. They are added up in blocks of BLOCK matches, then inside
+    each, as an array that grows match by match would be copied for each.
     """
     gaps = F.transform(F.split(text, pattern, -1), lambda s: F.char_length(s))
     lengths = F.transform(found, lambda s: F.char_length(s))
     both = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), lengths.alias("length"), keep.alias("keep"))
-    none = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    none, no_place = F.array().cast("array<struct<start:int,rank:int,stop:int>>"), F.array().cast("array<int>")
+    blocks = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda i: F.slice(all_, i * BLOCK + 1, F.lit(BLOCK)))
+    length = lambda block: F.aggregate(block, F.lit(0), lambda t, x: t + x["gap"] + x["length"])
+
+    def starts(parts: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), no_place.alias("out"))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(F.transform(parts, length), first, step, lambda acc: acc["out"])
+
+    def inside(block: Column, start: Column) -> Column:
+        def step(acc, x):
+            at = acc["at"] + x["gap"]
+            span = F.struct(at.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (at + x["length"]).alias("stop"))
+            return F.struct((at + x["length"]).alias("at"), F.when(x["keep"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    def step(acc, x):
-        at = acc["at"] + x["gap"]
-        span = F.struct(at.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (at + x["length"]).alias("stop"))
-        return F.struct((at + x["length"]).alias("at"), F.when(x["keep"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
-    return F.when(F.exists(keep, lambda k: k), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(none)
+    placed = let(both, lambda all_: let(blocks(all_), lambda parts: F.flatten(F.zip_with(parts, starts(parts), inside))))
+    return F.when(F.exists(keep, lambda k: k), placed).otherwise(none)
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, rate: float = RATE) -> DataFrame:
     """doc_id and spans array<struct<start, rank, stop>>, sorted, of every row; rank is the place of the kind in KINDS."""
     ratios = train(samples(docs.sparkSession) if labelled is None else labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -120,7 +139,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     keep = {k: F.transform(k, lambda _: F.lit(True)) for k in ("access", "hex")}
     keep["assign"] = F.transform("values", lambda v: F.char_length(v) >= VALUE)
     if ratios:
-        keep["markov"] = F.transform("markov", lambda s: log_ratio(s, ratios) > margin)
+        keep["markov"] = F.transform("markov", lambda s: let(log_ratio(s, ratios), lambda v: (v > margin) & (v > rate * (F.char_length(s) - 1))))
     rows = rows.withColumns({f"keep_{k}": c for k, c in keep.items()})
     found = [spans(text, F.col(k), p, k, F.col(f"keep_{k}")) for k, p in every.items()]
     return rows.select("doc_id", F.array_sort(F.concat(*found)).alias("spans"))
