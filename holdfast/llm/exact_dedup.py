@@ -3,7 +3,8 @@
 Misra-Gries summaries of the digests, one a partition, are merged into at most `counters` candidates. Their exact counts
 and winners are verified by an aggregation and broadcast (at most `counters` rows, whatever the input), so the rows of
 frequent digests are decided map-side and never meet in one task. Every digest with more than rows / (counters + 1) rows
-is among the candidates; what remains is shuffled by digest in groups below that bound.
+is among the candidates; of what remains the winners are found by an aggregation that combines map-side, and only winners of
+repeated digests are joined back, where Spark can split what is still large.
 
 Defined results: a null text is the empty text; texts are equal when equal after lower-casing A-Z; of equal texts the row
 with the largest id stays (null ids lose to any other; of repeated rows with that id exactly one stays); an empty table
@@ -16,7 +17,7 @@ import hashlib
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import materialise, small_batches
@@ -76,13 +77,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests = text_digests(docs, id_col, text_col)
     heavy = heavy_digests(digests, counters)
     # ids may be null: struct ordering puts null first, so any id beats it
-    one = Window.partitionBy("digest")
-    rest = (
-        digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-        .withColumn("keep", F.max(F.struct("doc_id", "row_id")).over(one))
-        .withColumn("group_size", F.count(F.lit(1)).over(one))
-        .withColumn("frequent", F.lit(False))
-    )
+    own = F.struct("doc_id", "row_id")
+    rest = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    winners = rest.groupBy("digest").agg(F.max(own).alias("keep"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    rest = rest.join(winners, "digest", "left").withColumns({"keep": F.coalesce("keep", own), "group_size": F.coalesce("group_size", F.lit(1)).cast("long"), "frequent": F.lit(False)})
     often = digests.join(F.broadcast(heavy), "digest").withColumn("frequent", F.lit(True))
     return often.unionByName(rest).select(
         "doc_id",

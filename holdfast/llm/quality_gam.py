@@ -5,10 +5,11 @@ tree of two splits to the gradient histogram of one feature and adds it to that
 residuals gain most from a four-leaf tree get tables over two coarse features, boosted in turn. A score is the logistic of a sum of
 table entries.
 
-Training takes at most `train_rows` labelled rows, those with the smallest hashes of their ids; all else covers all rows.
+Training takes at most `train_rows` labels, those with the smallest hashes of their ids, and one row for each; all else covers all rows.
 Defined results: a null or empty text is scored like any other by its features; without usable labels every score is the
 prior (0.5); labels that are null are left out, and of several labels of one id the largest counts; null ids are never
-held out and never learnt from; an empty table gives an empty table; other columns are ignored.
+held out and never learnt from; of several rows of one id the one with the smallest features is learnt from; an empty table
+gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import held_out, small_batches
+from holdfast.llm.common import fresh, held_out, small_batches
 
 FEATURES = ("bytes", "words", "word_length", "distinct", "repeats", "upper", "stops", "bangs", "bars", "symbols", "digits", "other_bytes", "lines", "marked_words", "brackets")
 TRAIN_ROWS, KEEP_AT, SEED = 20_000, 0.3, 2
@@ -160,8 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = usable.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("__label").alias("__label"))
     chosen = usable.orderBy(F.xxhash64("__id", F.lit(SEED)), "__id").limit(train_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    found = rows.select("doc_id", "__label", "text").mapInArrow(_features, "doc_id long, label int, x array<double>").limit(2 * train_rows).toPandas()
-    found = found.assign(key=found["x"].map(tuple)).sort_values(["doc_id", "key"])
+    found = rows.select("doc_id", "__label", "text").mapInArrow(_features, "doc_id long, label int, x array<double>")
+    found = found.groupBy("doc_id", "label").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")
     x = np.array(found["x"].tolist(), float).reshape(-1, len(FEATURES))
     return Gam().fit(x, found["label"].to_numpy(float))
 
@@ -177,8 +178,9 @@ def scored(docs: DataFrame, model: Gam, columns: list[str], text_col: str = "tex
             scores = sent.value.score(matrix(b.column(b.num_columns - 1).to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], score_col])
 
-    rows = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add(score_col, "double")
+    (text,) = fresh(columns, "text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).cast("string").alias(text))
+    schema = rows.drop(text).schema.add(score_col, "double")
     return rows.mapInArrow(run, schema)
 
 
@@ -192,4 +194,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
     model = train(docs, labels, id_col, text_col)
-    return scored(docs, model, docs.columns, text_col, "__score").where(F.col("__score") >= KEEP_AT).drop("__score")
+    (score,) = fresh(docs.columns, "score")
+    return scored(docs, model, docs.columns, text_col, score).where(F.col(score) >= KEEP_AT).drop(score)
