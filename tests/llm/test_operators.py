@@ -204,7 +204,7 @@ def test_mixed_rows_follow_the_plan(edge):
 # --- near-duplicates
 
 
-def near_groups(rows):
+def near_groups(rows, percent=85):
     sets = []
     for _, t, *_ in rows:
         w = fold(t).encode().split()
@@ -218,7 +218,7 @@ def near_groups(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     groups = defaultdict(list)
     for i in range(len(rows)):
@@ -378,10 +378,12 @@ def test_decontamination(spark, tmp_path):
     assert ids(clean.collect()) == Counter(r[0] for r in rows if r[0] not in (31, 32, 33, 35, 36))
 
 
-def test_decontamination_without_sent_hashes(spark, tmp_path, monkeypatch):
+def test_decontamination_with_a_full_filter(spark, tmp_path, monkeypatch):
+    """A benchmark far too large for the filter lets more windows through and changes no result."""
     rows = [(31, "Before. " + ITEM, "en", "a", 1), (32, "nothing of it here at all", "en", "a", 1)]
     df = write(spark, tmp_path, rows)
-    monkeypatch.setattr(decontaminate, "SENT", -1)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 3)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 3)
     assert [r.doc_id for r in decontaminate.contaminated(df, benchmark(spark, ITEMS)).collect()] == [31]
 
 

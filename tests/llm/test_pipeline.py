@@ -30,7 +30,7 @@ def test_stages(spark, sf):
     from tests.llm.test_operators import near_groups
 
     rows = [tuple(r) for r in seen["near-duplicates"].collect()]
-    assert given["decontamination"] == Counter({c for _, _, c in near_groups(rows)})
+    assert given["decontamination"] == Counter({c for _, _, c in near_groups(rows, P.NEAR_PERCENT)})
 
     items = [r.text for r in table(spark, sf, "benchmark").collect()]
     texts = {r.doc_id: r.text for r in seen["decontamination"].collect()}
