@@ -343,9 +343,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     cells.subdivide(scope, sizes)
     # a row for each file: the cells in their order are the files
     files = cells.placed(sizes, row).select(*cells.names).distinct()
-    files = scope.write(files.withColumn("part", (F.row_number().over(Window.orderBy(*cells.names)) - 1).cast("int")), "files")
-    parted = cells.placed(rows, row).join(F.broadcast(files), cells.names).repartitionById(max(files.count(), 1), "part").sortWithinPartitions("doc_id", "text")
-    done = scope.write(parted.select("part", "doc_id", "text").mapInArrow(_write(folder, tokenizer, kind, end_id), "part int, n_ids long, n_docs long"), "manifest")
+    files = scope.write(files.withColumn("file", (F.row_number().over(Window.orderBy(*cells.names)) - 1).cast("int")), "files")
+    parted = cells.placed(rows, row).join(F.broadcast(files), cells.names).repartitionById(max(files.count(), 1), "file").sortWithinPartitions("doc_id", "text")
+    done = scope.write(parted.select("file", "doc_id", "text").mapInArrow(_write(folder, tokenizer, kind, end_id), "part int, n_ids long, n_docs long"), "manifest")
     scope.release("manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return done.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
