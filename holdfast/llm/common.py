@@ -39,6 +39,40 @@ def numbered(scope: Scope, docs: DataFrame, label: str = "numbered") -> tuple[Da
     return scope.write(docs.select(F.monotonically_increasing_id().alias(name), "*"), label), name
 
 
+#: Bits of the smallest and of the largest guard (1 MB), and bits meant for a key.
+LEAST_GUARD, MOST_GUARD, GUARD_BITS = 1 << 14, 1 << 23, 16
+
+
+def guard(keys: DataFrame):
+    """A column function that is true of all values of the one column of keys, and of few others, up to a number of keys that fills MOST_GUARD bits.
+
+    What it lets through goes on to a join; the rest, as a rule nearly all rows with their texts, need not be shuffled.
+    """
+    bits = min(max(1 << (GUARD_BITS * keys.count()).bit_length(), LEAST_GUARD), MOST_GUARD)
+    places = lambda c: [F.pmod(h, F.lit(bits)) for h in (F.xxhash64(c), F.xxhash64(c, F.lit(1)))]
+    # places of bits are below 2^23, so a word's bits can be added up
+    at = keys.select(F.explode(F.array(*places(F.col(keys.columns[0])))).alias("at")).distinct()
+    words = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.sum(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")).collect()  # bits / 32 rows at most
+    table = ["0"] * (bits // 32)
+    for r in words:
+        table[r.word] = str(r.bits)
+    literal = F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
+
+    def may(c: Column) -> Column:
+        found = F.lit(True)
+        for p in places(c):
+            found = found & (F.get(literal, F.shiftright(p, 5).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (p % 32).cast("int"))) != 0)
+        return F.coalesce(found & c.isNotNull(), F.lit(False))
+
+    return may
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not in gone, a written table of one column of another name."""
+    may, (other,) = guard(gone), gone.columns
+    return rows.where(~may(F.col(key))).unionByName(rows.where(may(F.col(key))).join(gone, F.col(key) == F.col(other), "left_anti"))
+
+
 def fold_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

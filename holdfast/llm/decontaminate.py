@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Scope, fresh, small_batches
+from holdfast.llm.common import Scope, fresh, small_batches, without
 from holdfast.llm.shingles import windows
 
 WINDOW, COVERAGE, LITERALS, SHIFT = 5, 0.8, 2, 3
@@ -334,4 +334,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     bad = scope.write(contaminated(docs, benchmark, id_col, text_col, scope).select(F.col("digest").alias(gone)).distinct(), "contaminated")
     scope.release("contaminated")
     rows = docs.withColumn(own, F.sha2(F.col(text_col).cast("string").cast("binary"), 256))
-    return rows.join(bad, F.col(own) == F.col(gone), "left_anti").drop(own)
+    return without(rows, own, bad).drop(own)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Scope, fresh, numbered, small_batches
+from holdfast.llm.common import Scope, fresh, guard, numbered, small_batches, without
 from holdfast.llm.components import components
 from holdfast.llm.shingles import WordHashes, mix, multipliers, shingle_set
 
@@ -218,8 +218,8 @@ def grouped_rows(scope: Scope, rows: DataFrame, percent: int) -> DataFrame:
     pairs = scope.write(members.where("id <> centre").select(F.col("id").alias("b"), F.col("centre").alias("a")).distinct(), "pairs")
     stars = scope.write(judged_stars(scope, pairs, narrow, percent), "stars")
 
-    ids = members.select("id").distinct()
-    sets = scope.write(rows.join(ids, F.col("row_id") == F.col("id")).select("id", "text").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    ids = scope.write(members.select("id").distinct(), "ids")
+    sets = scope.write(rows.where(guard(ids)(F.col("row_id"))).join(ids, F.col("row_id") == F.col("id")).select("id", "text").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
     links = scope.write(confirmed(scope, stars, sets, percent), "links")
     round_ = Scope(scope.spark)
     found = components(links, round_)
@@ -279,4 +279,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     rows = all_.select(F.col(row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lost = scope.write(grouped_rows(scope, rows, percent).where("not stays").select(F.col("row_id").alias(gone)), "gone")
     scope.release("numbered", "gone")
-    return all_.join(lost, F.col(row) == F.col(gone), "left_anti").drop(row)
+    return without(all_, row, lost).drop(row)

@@ -450,3 +450,15 @@ def test_places_of_very_many_matches(spark, tmp_path):
     text = "é token=abcdef1 " * 3000
     got = secrets.digest(secrets.scan(plain(spark, tmp_path / "docs", [(1, text, "en", "a", 1)]))).first()
     assert got.n_assign == 3000 and got.spans.split(",")[-1] == f"assign:{16 * 2999 + 2}:{16 * 2999 + 15}"
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_guards_hold_no_key_back(spark, tmp_path, n):
+    from holdfast.llm.common import guard, without
+
+    keys = spark.range(0, 3 * n, 3).toDF("gone")
+    may = guard(keys)
+    assert keys.where(~may(F.col("gone"))).count() == 0
+    rows = spark.range(0, 3 * n + 3).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("k"))
+    assert rows.where(may(F.col("k")) & (F.col("k") % 3 != 0)).count() <= 0.05 * (3 * n + 3)
+    assert without(rows, "k", keys).count() == rows.count() - keys.where("gone % 7 <> 0").count()
