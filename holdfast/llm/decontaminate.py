@@ -40,10 +40,12 @@ WINDOW, COVERAGE, LITERALS, SHIFT = 5, 0.8, 2, 3
 #: Slices of the filter, bits of the smallest and of the largest one, and the bits meant for a window.
 SLICES, LEAST_BITS, MOST_BITS, BITS_A_WINDOW = 64, 10, 22, 32
 FILTER_BYTES = SLICES * 2**MOST_BITS // 8
-#: Rows meant for an emitted batch, and tokens that a task remembers.
-EMITTED, REMEMBERED = 4096, 400_000
+#: Rows meant for an emitted batch, tokens that a worker remembers, tokens taken together, and windows looked up at a time.
+EMITTED, REMEMBERED, TOGETHER, LOOKED_UP = 4096, 1_000_000, 200_000, 1 << 18
 PLAIN, TYPED, NAMED = 0, 1, 2
-BREAK, NUMBER, UNIT, CAPITAL = 1, 2, 4, 8
+BREAK, NUMBER, UNIT, CAPITAL, END = 1, 2, 4, 8, 16
+#: Stands after each text: a token like no other, which no window of the benchmark has.
+END_OF_TEXT = "\0"
 #: What placeholders hash to: numbers, units, names.
 PLACEHOLDERS = tuple(np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\0n", b"\0u", b"\0p"))
 #: Units of measure and money, in lower case.
@@ -54,7 +56,7 @@ inch inches foot feet yard yards mile miles meter meters metre metres kilometer
 gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons degree degrees
 dollar dollars cent cents euro euros usd eur gbp
 """
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
+TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]|\d+(?:[.,]\d+)*")
 MATCHES = "row_id long, doc_id long, digest string, hash long, form int, place int, slots array<string>"
 FOUND = "doc_id long, digest string, item_id long, coverage double, verdict string, n_places long"
 
@@ -72,7 +74,7 @@ class Lexicon(dict):
             self.hash, self.kind = np.resize(self.hash, 2 * at), np.resize(self.kind, 2 * at)
         self.hash[at] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
         capital = token[0].isupper() and not token.isupper()
-        self.kind[at] = BREAK if token in ".!?\n" else NUMBER * token[0].isdigit() | UNIT * (low in self.units) | CAPITAL * capital
+        self.kind[at] = BREAK if token in ".!?\n" else END if token == END_OF_TEXT else NUMBER * token[0].isdigit() | UNIT * (low in self.units) | CAPITAL * capital
         self[token] = at
         return at
 
@@ -82,26 +84,38 @@ class Lexicon(dict):
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
+#: The lexicon of this Python worker: what a task has met serves the worker's next one.
+LEXICONS: list[Lexicon] = []
+
+
+def lexicon_of_worker() -> Lexicon:
+    if not LEXICONS:
+        LEXICONS.append(Lexicon())
+    return LEXICONS[0]
+
+
 @dataclass
 class Forms:
-    """tokens as they stand; for each form the hashes of its tokens and where its placeholders are."""
+    """raw: tokens as they stand; real: places of those that are no ends of sentences. By form the hashes of real tokens and where placeholders
+    are. ends: the real places of ends of texts."""
 
-    tokens: list[str]
+    raw: list[str]
+    real: np.ndarray
     hashes: list[np.ndarray]
     slots: list[np.ndarray]
+    ends: np.ndarray
 
     def values(self, form: int, place: int, k: int) -> list[str]:
         """The values of a window's slots, in lower case."""
-        return [self.tokens[i].lower() for i in range(place, place + k) if self.slots[form][i]]
+        return [self.raw[self.real[i]].lower() for i in range(place, place + k) if self.slots[form][i]]
 
 
-def forms_of(text: str | None, lexicon: Lexicon) -> Forms:
-    raw = TOKEN.findall(text or "")
+def forms_of(raw: list[str], lexicon: Lexicon) -> Forms:
     at = lexicon.numbers(raw)
     kind = lexicon.kind[at]
-    ends = kind == BREAK
-    real = np.nonzero(~ends)[0]
-    kind, start, plain = kind[real], np.concatenate([[True], ends])[:-1][real], lexicon.hash[at[real]]
+    real = np.nonzero(kind != BREAK)[0]
+    start = np.concatenate([[True], kind & (BREAK | END) > 0])[:-1][real]
+    kind, plain = kind[real], lexicon.hash[at[real]]
     number = kind & NUMBER > 0
     unit = (kind & UNIT > 0) & np.concatenate([[False], number])[:-1]
     name = (kind & CAPITAL > 0) & ~number & ~unit
@@ -111,8 +125,7 @@ def forms_of(text: str | None, lexicon: Lexicon) -> Forms:
     named = typed.copy()
     named[name & start] = PLACEHOLDERS[2]
     inside = number | unit | (name & ~start)
-    tokens = raw if len(real) == len(raw) else [raw[i] for i in real.tolist()]
-    return Forms(tokens, [plain, typed, named], [np.zeros(len(real), bool), inside, inside | name])
+    return Forms(raw, real, [plain, typed, named], [np.zeros(len(real), bool), inside, inside | name], np.nonzero(kind == END)[0])
 
 
 def _hashes(form: np.ndarray, k: int) -> np.ndarray:
@@ -125,8 +138,8 @@ def _items(batches):
     for b in batches:
         rows = []
         for item_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            forms = forms_of(text, lexicon)
-            k = min(WINDOW, len(forms.tokens))
+            forms = forms_of(TOKEN.findall(text or ""), lexicon)
+            k = min(WINDOW, len(forms.real))
             if not k:
                 continue
             for form in (PLAIN, TYPED, NAMED):
@@ -195,22 +208,51 @@ def sieve(items: DataFrame, n: int) -> Sieve:
     return Sieve(bits, {r.slice: r.octets for r in rows.collect()})
 
 
+def found_windows(forms: Forms, k: int, sought: Sieve):
+    """(form, place) of the windows of k tokens that may be the benchmark's."""
+    n = len(forms.real) - k + 1
+    for a in range(0, n, LOOKED_UP):
+        plain = np.array([], np.int64)
+        before = None
+        for form in (PLAIN, TYPED, NAMED):
+            h = _hashes(forms.hashes[form][a : a + LOOKED_UP + k - 1], k)
+            if before is None:
+                plain = sought.places(h)
+            else:
+                # windows without slots of their own are the form's before
+                other = np.nonzero(h != before)[0]
+                plain = np.concatenate([plain[h[plain] == before[plain]], other[sought.places(h[other])]])
+            before = h
+            yield from ((form, a + p, int(x)) for p, x in zip(plain.tolist(), h[plain].view(np.int64).tolist(), strict=True))
+
+
 def _matches(lengths: list[int], sought):
     """sought: a broadcast Sieve."""
 
     def run(batches):
-        lexicon, rows = Lexicon(), []
+        lexicon, rows = lexicon_of_worker(), []
+
+        def of(texts: list[tuple], raw: list[str]):
+            forms = forms_of(raw, lexicon)
+            starts = np.concatenate([[0], forms.ends + 1])
+            for k in lengths:
+                for form, p, h in found_windows(forms, k, sought.value):
+                    text = int(np.searchsorted(forms.ends, p))
+                    yield (*texts[text], h, form, p - int(starts[text]), forms.values(form, p, k))
+
         for b in batches:
-            for row_id, doc_id, digest, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                forms = forms_of(text, lexicon)
-                for form in (PLAIN, TYPED, NAMED):
-                    for k in lengths:
-                        h = _hashes(forms.hashes[form], k)
-                        for p in sought.value.places(h).tolist():
-                            rows.append((row_id, doc_id, digest, int(h[p].view(np.int64)), form, p, forms.values(form, p, k)))
-                            if len(rows) >= EMITTED:
-                                yield _emit(rows)
-                                rows = []
+            texts, raw = [], []
+            for *own, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                texts.append(own)
+                raw += TOKEN.findall(text or "")
+                raw.append(END_OF_TEXT)
+                if len(raw) > TOGETHER:
+                    rows += of(texts, raw)
+                    texts, raw = [], []
+            rows += of(texts, raw)
+            for i in range(0, len(rows), EMITTED):
+                yield _emit(rows[i : i + EMITTED])
+            rows = []
         yield _emit(rows)
 
     return run
