@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -24,11 +24,19 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 
 def stand_in(space: str, dim: int) -> Embedder:
-    """Normal vectors seeded by the hash of the space and the text."""
+    """Counts of runs of one to three bytes of the lower-cased text, each run at a hashed place and with a hashed sign: texts that share runs are alike."""
+    seed = np.uint64(zlib.crc32(space.encode()))
+
+    def of(text: str) -> np.ndarray:
+        octets = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
+        runs = [sum(octets[j : len(octets) - n + 1 + j] << np.uint64(8 * j) for j in range(n)) | np.uint64(n << 24) for n in (1, 2, 3) if len(octets) >= n]
+        mixed = (np.concatenate(runs) ^ (seed << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        places, signs = (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(dim), np.where(mixed & np.uint64(1), 1.0, -1.0)
+        return np.bincount(places.astype(np.int64), signs, dim)
 
     def encode(texts: list[str]) -> np.ndarray:
-        seeds = [int.from_bytes(hashlib.sha256((space + t).encode()).digest()[:8], "little") for t in texts]
-        return unit_rows(np.array([np.random.default_rng(s).standard_normal(dim, np.float32) for s in seeds], np.float32).reshape(len(texts), dim))
+        return unit_rows(np.array([of(t) for t in texts], np.float64).reshape(len(texts), dim))
 
     return encode
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 LEAST_RATIO = 0.72
 ANCHORS = ((0.72, 88.0), (0.85, 99.0), (1.0, 100.0))
 WORD_WEIGHTS = {1: 0.45, 2: 0.75}
-FLOOR, STEEPNESS, UNCALIBRATED = 70.0, 1.1, 50.0
+FLOOR, STEEPNESS, UNCALIBRATED, LEAST_SPREAD = 70.0, 1.1, 50.0, 1e-6
 VERBATIM_RATIO, STRONG, LIKELY, MOST_POSITION = 0.97, 80, 70, 86.0
 
 
@@ -26,12 +29,27 @@ def phrase_score(ratio: Column, words: Column | int = 3) -> Column:
 
 def calibrated(similarity: Column, mean: Column, stddev: Column) -> Column:
     """A logistic curve over the z-score; without a calibration the middle of the scale."""
-    usable = mean.isNotNull() & stddev.isNotNull() & (stddev >= 1e-6)
+    usable = mean.isNotNull() & stddev.isNotNull() & (stddev >= LEAST_SPREAD)
     return F.when(usable, 100 / (1 + F.exp(-STEEPNESS * (similarity - mean) / stddev))).otherwise(UNCALIBRATED)
 
 
+def calibrated_value(similarity: float, mean: float | None, stddev: float | None) -> float:
+    """The same of one number."""
+    if mean is None or stddev is None or stddev < LEAST_SPREAD:
+        return UNCALIBRATED
+    return 100 / (1 + math.exp(-STEEPNESS * (similarity - mean) / stddev))
+
+
+def phrase_value(ratio: float, words: int) -> float:
+    """phrase_score of one number."""
+    if ratio < LEAST_RATIO:
+        return 0.0
+    base = float(np.interp(ratio, *zip(*ANCHORS, strict=True)))
+    return FLOOR + (base - FLOOR) * WORD_WEIGHTS.get(max(words, 1), 1.0)
+
+
 def z_score(x: Column, mean: Column, stddev: Column) -> Column:
-    return (x - mean) / F.greatest(stddev, F.lit(1e-6))
+    return (x - mean) / F.greatest(stddev, F.lit(LEAST_SPREAD))
 
 
 def tier(score: Column) -> Column:

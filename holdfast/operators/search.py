@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions import scoring, vector
+from holdfast.functions.fuzzy import similarities
 from holdfast.functions.text import mentions, plain, query_tokens
 from holdfast.sources.library import KINDS
 
 K, CONTENDERS, PHRASE_CHUNKS, BM25_ROWS = 200, 150, 60, 200
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-DECOYS, SAMPLE = 16, 400
+SAMPLE, LEAST_ITEMS = 400, 1
 IMAGE_SPACES = ("image_a", "image_b")
 #: On equal scores the earlier source wins.
 PRIORITY = {"image": 0, "text": 1, "phrase": 2}
@@ -69,30 +75,87 @@ def restricted(embeddings: DataFrame, ids: DataFrame | None) -> DataFrame:
     return embeddings if ids is None else embeddings.join(ids.withColumnRenamed("id", "item_id"), "item_id", "left_semi")
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """Rows that a limit or a fixed number bounds (a few hundred), worked out once and held by the plan.
+def local(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Bounded results that were put together on the driver, as one partition."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema).coalesce(1)
 
-    What follows refers to them more than once and joins them to each other, so a top-k over a large table is not made anew
-    for every reference. They are one partition: what groups and ranks them needs no exchange.
+
+def _vectors(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of this size, and the vectors in double precision."""
+    at = np.nonzero(column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim)[0]
+    flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+    return at, flat.astype(np.float64).reshape(-1, dim)
+
+
+def _closest(queries: dict[str, list[float]], k: int, key: str, keep: list[str]):
+    """Of each space the k rows of a partition that are nearest to its query, with their distance."""
+    sought = {s: np.array(q, np.float64) for s, q in queries.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        best: dict[str, pa.Table] = {}
+        for b in batches:
+            for space, q in sought.items():
+                own = b.filter(pc.equal(b.column("space"), space))
+                at, m = _vectors(own.column("embedding"), len(q))
+                if not len(at):
+                    continue
+                found = pa.Table.from_batches([own.take(pa.array(at))]).select(keep).append_column("distance", pa.array(np.sqrt(((m - q) ** 2).sum(axis=1))))
+                found = pa.concat_tables([best[space], found]) if space in best else found
+                best[space] = found.take(pc.sort_indices(found, [("distance", "ascending"), (key, "ascending")])[:k])
+        for t in best.values():
+            yield from t.to_batches()
+
+    return run
+
+
+def nearest_by_space(embeddings: DataFrame, queries: dict[str, list[float]], k: int = K, ids: DataFrame | None = None, key: str = "vec_id", keep: list[str] | None = None) -> DataFrame:
+    """Of each space the k vectors nearest to its query: the given columns (all), distance, cosine.
+
+    One pass over the vectors for all spaces: products are worked out on Arrow batches, each partition keeps its k best, and only those are
+    shuffled. The filter comes before the limit.
     """
-    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema).coalesce(1)
+    rows = restricted(embeddings.where(F.col("space").isin(*queries)), ids)
+    keep = list(dict.fromkeys(["space", key, *(keep or rows.columns)]))
+    read = rows.select(*dict.fromkeys([*keep, "embedding"]))
+    schema = read.select(*keep).schema.add("distance", "double")
+    place = F.row_number().over(Window.partitionBy("space").orderBy("distance", key))
+    found = read.mapInArrow(_closest(queries, k, key, keep), schema).withColumn("__n", place).where(F.col("__n") <= k).drop("__n")
+    return found.withColumn("cosine", vector.cosine_of_distance(F.col("distance")))
 
 
 def nearest(embeddings: DataFrame, space: str, query: list[float], k: int = K, ids: DataFrame | None = None, key: str = "vec_id") -> DataFrame:
-    """The k nearest vectors of a space: all columns, distance, cosine. The filter comes before the limit; top-k is kept by partition and merged."""
-    rows = restricted(embeddings.where((F.col("space") == space) & (F.size("embedding") == len(query))), ids)
-    rows = rows.withColumn("distance", vector.l2(F.col("embedding"), query)).orderBy("distance", key).limit(k)
-    return rows.withColumn("cosine", vector.cosine_of_distance(F.col("distance")))
+    """The k nearest vectors of a space: all columns, distance, cosine."""
+    return nearest_by_space(embeddings, {space: query}, k, ids, key).orderBy("distance", key)
 
 
-def calibration(embeddings: DataFrame, space: str, sample: int = SAMPLE, decoys: int = DECOYS, key: str = "vec_id") -> DataFrame:
-    """One row: space, mean, stddev (of the population), sample_n, population: similarities of the first `decoys` vectors to the `sample` that follow."""
-    own = embeddings.where(F.col("space") == space)
-    numbered = own.orderBy(key).limit(decoys + sample).select(key, "embedding").withColumn("n", F.row_number().over(Window.orderBy(key)))
-    # a fixed number of rows on both sides, whatever the table's size
-    pairs = F.broadcast(numbered.where(F.col("n") <= decoys).select(F.col("embedding").alias("q"))).crossJoin(numbered.where(F.col("n") > decoys).select("embedding"))
-    stats = pairs.agg(F.avg(vector.dot(F.col("q"), F.col("embedding"))).alias("mean"), F.stddev_pop(vector.dot(F.col("q"), F.col("embedding"))).alias("stddev"), F.count(F.lit(1)).alias("sample_n"))
-    return stats.crossJoin(own.agg(F.count(F.lit(1)).alias("population"))).select(F.lit(space).alias("space"), "mean", "stddev", "sample_n", "population")
+EVIDENCE = ["item_id", "frame_id", "chunk_ix", "ts_s"]
+
+
+def nearest_rows(embeddings: DataFrame, queries: dict[str, list[float]], k: int = K, ids: DataFrame | None = None, key: str = "vec_id") -> list[dict]:
+    """The same as rows: at most k for each space."""
+    return [r.asDict() for r in nearest_by_space(embeddings, queries, k, ids, key, [c for c in EVIDENCE if c in embeddings.columns]).collect()]
+
+
+def calibration(embeddings: DataFrame, decoys: dict[str, list[list[float]]], sample: int = SAMPLE, least: int = LEAST_ITEMS, key: str = "vec_id") -> DataFrame:
+    """A row for each space: space, mean, stddev (of the population), sample_n, population: similarities of decoy queries, which have nothing to
+    do with each other or the library, to the first `sample` vectors. Spaces with fewer than `least` vectors, or without spread, have none.
+    """
+    own = embeddings.where(F.col("space").isin(*decoys))
+    place = F.row_number().over(Window.partitionBy("space").orderBy(key))
+    # `sample` vectors a space
+    rows = own.select("space", key, "embedding").withColumn("__n", place).where(F.col("__n") <= sample).select("space", "embedding").collect()
+    population = {r.space: r.n for r in own.groupBy("space").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = []
+    for space, queries in decoys.items():
+        dim = len(queries[0]) if queries else 0
+        vectors = [r.embedding for r in rows if r.space == space and len(r.embedding) == dim]
+        if not dim or len(vectors) < least:
+            continue
+        found = np.array(queries, np.float64) @ np.array(vectors, np.float64).T
+        if found.std() >= scoring.LEAST_SPREAD:
+            out.append({"space": space, "mean": float(found.mean()), "stddev": float(found.std()), "sample_n": found.size, "population": population[space]})
+    return local(embeddings.sparkSession, out, "space string, mean double, stddev double, sample_n long, population long")
 
 
 def stale(found: dict | None, population: int, growth: float = 1.5) -> bool:
@@ -100,44 +163,93 @@ def stale(found: dict | None, population: int, growth: float = 1.5) -> bool:
     return found is None or population > growth * max(found["population"], 1)
 
 
-def image_evidence(embeddings: DataFrame, queries: dict[str, list[float]], calibrations: DataFrame, k: int = K, ids: DataFrame | None = None) -> DataFrame:
-    """item_id, score, frame_id, ts_s: the best picture or frame of every item over two models.
+Calibrations = dict[str, tuple[float, float]]
+
 
-    The nearest of each space are pooled by (item, frame); the contenders with the highest cosine get their exact cosine in the spaces
+def by_space(calibrations: DataFrame | Calibrations) -> Calibrations:
+    """mean and stddev by space: a row for each."""
+    return calibrations if isinstance(calibrations, dict) else {r.space: (r.mean, r.stddev) for r in calibrations.collect()}
+
+
+def _missing(queries: dict[str, list[float]], wanted: set[tuple]):
+    """item_id, frame_id, space, cosine, ts_s of the vectors that are wanted by (item, frame, space)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            rows = b.select(["item_id", "frame_id", "space", "ts_s"]).to_pylist()
+            at = [i for i, r in enumerate(rows) if (r["item_id"], r["frame_id"], r["space"]) in wanted]
+            found = [(rows[i], v) for i, v in zip(at, b.column("embedding").take(pa.array(at, pa.int64())).to_pylist(), strict=True) if v is not None and len(v) == len(queries[rows[i]["space"]])]
+            cosines = [float(np.dot(np.array(v, np.float64), queries[r["space"]])) for r, v in found]
+            types = {"item_id": pa.int64(), "frame_id": pa.int64(), "space": pa.string(), "ts_s": pa.float64()}
+            columns = [pa.array([r[c] for r, _ in found], t) for c, t in types.items()]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cosines, pa.float64())], names=[*types, "cosine"])
+
+    return run
+
+
+def image_rows(embeddings: DataFrame, queries: dict[str, list[float]], found: list[dict], calibrations: Calibrations) -> list[dict]:
+    """item_id, score, frame_id, ts_s, n_spaces from the nearest rows of the image spaces.
+
+    They are pooled by (item, frame); the contenders with the highest cosine get their exact cosine in the spaces
     that didn't find them; calibrated scores are averaged over the spaces a key has. A null frame is a key like any other.
     """
-    found = None
-    for s in queries:
-        rows = settled(nearest(embeddings, s, queries[s], k, ids).select("item_id", "frame_id", "ts_s", F.lit(s).alias("space"), "cosine"))
-        found = rows if found is None else found.unionByName(rows)
-    found = found.coalesce(1).groupBy("item_id", "frame_id", "space").agg(F.max("cosine").alias("cosine"), F.max("ts_s").alias("ts_s"))
-    pool = found.groupBy("item_id", "frame_id").agg(F.max("cosine").alias("top"), F.max("ts_s").alias("ts_s"), F.collect_set("space").alias("have"))
-    contenders = settled(pool.orderBy(F.desc("top"), "item_id", F.asc_nulls_first("frame_id")).limit(CONTENDERS))
-    exact = F.lit(None).cast("double")
-    for s, q in queries.items():
-        exact = F.when(F.col("e.space") == s, vector.dot_constant(F.col("e.embedding"), q)).otherwise(exact)
-    same = (F.col("e.item_id") == F.col("c.item_id")) & F.col("e.frame_id").eqNullSafe(F.col("c.frame_id"))
-    # at most CONTENDERS rows
-    missing = embeddings.where(F.col("space").isin(*queries)).alias("e").join(F.broadcast(contenders).alias("c"), same & ~F.array_contains("c.have", F.col("e.space")))
-    filled = missing.select("e.item_id", "e.frame_id", "e.space", exact.alias("cosine"), "e.ts_s").groupBy("item_id", "frame_id", "space").agg(F.max("cosine").alias("cosine"), F.max("ts_s").alias("ts_s"))
-    # at most a row for each contender and space
-    filled = settled(filled)
-    scored = found.select("item_id", "frame_id", "space", "cosine", "ts_s").unionByName(filled).coalesce(1).join(F.broadcast(calibrations), "space", "left")
-    scored = scored.withColumn("score", scoring.calibrated(F.col("cosine"), F.col("mean"), F.col("stddev")))
-    keys = scored.groupBy("item_id", "frame_id").agg(F.avg("score").alias("score"), F.max("ts_s").alias("ts_s"), F.count(F.lit(1)).alias("n_spaces"))
-    return best_per(keys, "item_id", [F.desc("score"), F.asc_nulls_first("frame_id")])
+    most = lambda a, b: b if a is None else a if b is None else max(a, b)
+    keys: dict[tuple, dict[str, float]] = {}
+    times: dict[tuple, float | None] = {}
+
+    def add(r: dict) -> None:
+        key = (r["item_id"], r.get("frame_id"))
+        own = keys.setdefault(key, {})
+        own[r["space"]] = most(own.get(r["space"]), r["cosine"])
+        times[key] = most(times.get(key), r.get("ts_s"))
+
+    for r in found:
+        if r["space"] in queries:
+            add(r)
+    order = lambda key: (key[0], key[1] is not None, key[1] or 0)
+    contenders = sorted(keys, key=lambda key: (-max(keys[key].values()), *order(key)))[:CONTENDERS]
+    wanted = {(*key, s) for key in contenders for s in queries if s not in keys[key]}
+    if wanted:
+        rows = embeddings.where(F.col("space").isin(*queries) & F.col("item_id").isin(sorted({w[0] for w in wanted})))
+        filled = rows.select("item_id", "frame_id", "space", "ts_s", "embedding").mapInArrow(_missing(queries, wanted), "item_id long, frame_id long, space string, ts_s double, cosine double")
+        for r in filled.groupBy("item_id", "frame_id", "space").agg(F.max("cosine").alias("cosine"), F.max("ts_s").alias("ts_s")).collect():
+            add(r.asDict())
+    best: dict[int, dict] = {}
+    for key in sorted(keys, key=order):
+        scores = [scoring.calibrated_value(c, *calibrations.get(s, (None, None))) for s, c in keys[key].items()]
+        score = sum(scores) / len(scores)
+        if key[0] not in best or score > best[key[0]]["score"]:
+            best[key[0]] = {"item_id": key[0], "score": score, "frame_id": key[1], "ts_s": times[key], "n_spaces": len(scores)}
+    return list(best.values())
+
+
+IMAGE = "item_id long, score double, frame_id long, ts_s double, n_spaces long"
+
+
+def image_evidence(embeddings: DataFrame, queries: dict[str, list[float]], calibrations: DataFrame | Calibrations, k: int = K, ids: DataFrame | None = None) -> DataFrame:
+    """item_id, score, frame_id, ts_s, n_spaces: the best picture or frame of every item over two models."""
+    return local(embeddings.sparkSession, image_rows(embeddings, queries, nearest_rows(embeddings, queries, k, ids), by_space(calibrations)), IMAGE)
 
 
 def best_per(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def text_evidence(embeddings: DataFrame, query: list[float], calibrations: DataFrame, k: int = K, ids: DataFrame | None = None, space: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Each item's best chunk (item_id, score, chunk_ix, ts_s), and the nearest chunks for the phrase pass."""
-    found = settled(nearest(embeddings, space, query, k, ids).drop("embedding"))
-    scored = found.join(F.broadcast(calibrations), "space", "left").withColumn("score", scoring.calibrated(F.col("cosine"), F.col("mean"), F.col("stddev")))
-    best = best_per(scored.select("item_id", "score", "chunk_ix", "ts_s"), "item_id", [F.desc("score"), "chunk_ix"])
-    return best, found.orderBy("distance", "vec_id").limit(PHRASE_CHUNKS).select("item_id", "chunk_ix")
+def text_rows(found: list[dict], calibrations: Calibrations, space: str = "text") -> tuple[list[dict], list[tuple]]:
+    """Each item's best chunk from the nearest rows of the space, and (item_id, chunk_ix) of the nearest chunks for the phrase pass."""
+    own = sorted((r for r in found if r["space"] == space), key=lambda r: (r["distance"], r["vec_id"]))
+    best: dict[int, dict] = {}
+    for r in sorted(own, key=lambda r: (r["chunk_ix"] is not None, r["chunk_ix"] or 0)):
+        score = scoring.calibrated_value(r["cosine"], *calibrations.get(space, (None, None)))
+        if r["item_id"] not in best or score > best[r["item_id"]]["score"]:
+            best[r["item_id"]] = {"item_id": r["item_id"], "score": score, "chunk_ix": r["chunk_ix"], "ts_s": r["ts_s"]}
+    return list(best.values()), [(r["item_id"], r["chunk_ix"]) for r in own[:PHRASE_CHUNKS]]
+
+
+def text_evidence(embeddings: DataFrame, query: list[float], calibrations: DataFrame | Calibrations, k: int = K, ids: DataFrame | None = None, space: str = "text") -> tuple[DataFrame, list[tuple]]:
+    """item_id, score, chunk_ix, ts_s of each item's best chunk, and the nearest chunks."""
+    best, near = text_rows(nearest_rows(embeddings, {space: query}, k, ids), by_space(calibrations), space)
+    return local(embeddings.sparkSession, best, "item_id long, score double, chunk_ix int, ts_s double"), near
 
 
 def tokens(text: Column) -> Column:
@@ -152,7 +264,12 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def _frequency(found: str, token: str) -> Column:
-    return F.size(F.filter(found, lambda x: x == token)).cast("double")
+    """How often a token of the query stands among those of a chunk; parts joined by an underscore have to follow each other."""
+    parts = [p for p in token.split("_") if p]
+    if len(parts) == 1:
+        return F.size(F.filter(found, lambda x: x == parts[0])).cast("double")
+    here = lambda x, i: reduce(lambda a, b: a & b, [F.get(F.col(found), i + j) == p for j, p in enumerate(parts)], F.lit(True))
+    return F.size(F.filter(found, here)).cast("double")
 
 
 def bm25(chunks: DataFrame, query: str, limit: int = BM25_ROWS) -> DataFrame:
@@ -160,7 +277,7 @@ def bm25(chunks: DataFrame, query: str, limit: int = BM25_ROWS) -> DataFrame:
 
     One pass over the chunks: only the query's tokens are counted, so nothing but hits is shuffled.
     """
-    sought = sorted({t for t in query_tokens(query)})
+    sought = sorted({t for t in query_tokens(query) if t.strip("_")})
     own = chunks.select("chunk_id", tokens(F.col("chunk_text")).alias("t"))
     own = own.select("chunk_id", F.size("t").cast("double").alias("length"), *[_frequency("t", s).alias(f"tf{i}") for i, s in enumerate(sought)])
     if not sought:
@@ -176,10 +293,17 @@ def bm25(chunks: DataFrame, query: str, limit: int = BM25_ROWS) -> DataFrame:
     return rows.where(hit).select("chunk_id", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
+def needs_order(query: str) -> bool:
+    """Whether a token of the query is parts that follow each other, which postings don't tell."""
+    return any("_" in t.strip("_") for t in query_tokens(query))
+
+
 def bm25_indexed(index: DataFrame, stats: DataFrame, query: str, limit: int = BM25_ROWS) -> DataFrame:
     """The same from stored postings and their stats (n, mean_length): reads the query's tokens only."""
-    hits = index.where(F.col("token").isin(query_tokens(query)))
-    df = settled(hits.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats)))  # a row for each token
+    if needs_order(query):
+        raise ValueError("postings have no order of tokens: use bm25")
+    hits = index.where(F.col("token").isin([t.strip("_") for t in query_tokens(query)]))
+    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # a row for each token
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     return hits.join(F.broadcast(df), "token").groupBy("chunk_id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
@@ -190,40 +314,59 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("chunk_text")))).alias("mean_length"))
 
 
-def phrase_evidence(chunks: DataFrame, query: str, ratio, near: DataFrame | None = None, ids: DataFrame | None = None, prefilter: bool = False, n_words: int | None = None, words: DataFrame | None = None) -> DataFrame:
-    """item_id, score, ratio, chunk_ix of the items whose chunks resemble the phrase.
+def phrase_rows(chunks: DataFrame, query: str, words: list[int], near: list[tuple] = (), ids: DataFrame | None = None, n_words: int | None = None) -> list[dict]:
+    """item_id, score, phrase_ratio, chunk_ix of the items whose chunks resemble the phrase.
 
-    Candidates are the BM25 rows (`words`, if they are there already) and the nearest chunks; the item filter comes after
-    BM25's limit unless `prefilter`.
+    Candidates are the BM25 rows and the nearest chunks, BM25_ROWS + PHRASE_CHUNKS at most, so their texts are compared where the search is put together.
     """
-    pool = restricted_chunks(chunks, ids) if prefilter else chunks
-    hits = settled(bm25(pool, query).select("chunk_id")) if words is None else words
-    by_words = chunks.join(F.broadcast(hits), "chunk_id", "left_semi")
-    found = by_words
-    if near is not None:
-        found = by_words.unionByName(chunks.join(F.broadcast(near), ["item_id", "chunk_ix"], "left_semi").select(*chunks.columns)).dropDuplicates(["chunk_id"])
-    found = restricted_chunks(found, ids)
+    place = F.concat_ws(":", "item_id", "chunk_ix")
+    beside = F.col("item_id").isin(sorted({i for i, _ in near})) & place.isin([f"{i}:{c}" for i, c in near if c is not None])
+    wanted = F.col("chunk_id").isin(words) | beside if near else F.col("chunk_id").isin(words)
+    found = restricted_chunks(chunks.where(wanted), ids).select("item_id", "chunk_ix", "chunk_text").collect() if words or near else []
     n = len(query.split()) if n_words is None else n_words
-    # a few hundred rows that each take long: dealt out evenly
-    found = found.repartition(found.sparkSession.sparkContext.defaultParallelism)
-    scored = found.withColumn("ratio", ratio(F.col("chunk_text"))).where(F.col("ratio") >= scoring.LEAST_RATIO)
-    scored = scored.withColumn("score", scoring.phrase_score(F.col("ratio"), n))
-    # at most BM25_ROWS + PHRASE_CHUNKS rows
-    return settled(best_per(scored.select("item_id", "score", "ratio", "chunk_ix", "chunk_text"), "item_id", [F.desc("ratio"), "chunk_ix"]))
+    best: dict[int, dict] = {}
+    for r, ratio in zip(found, similarities([r.chunk_text for r in found], query), strict=True):
+        if ratio < scoring.LEAST_RATIO:
+            continue
+        old = best.get(r.item_id)
+        if old is None or (-ratio, r.chunk_ix) < (-old["phrase_ratio"], old["chunk_ix"]):
+            best[r.item_id] = {"item_id": r.item_id, "score": scoring.phrase_value(ratio, n), "phrase_ratio": ratio, "chunk_ix": r.chunk_ix, "chunk_text": r.chunk_text}
+    return list(best.values())
+
+
+def phrase_evidence(chunks: DataFrame, query: str, near: list[tuple] = (), ids: DataFrame | None = None, prefilter: bool = False) -> DataFrame:
+    """The same as a DataFrame; the item filter comes after BM25's limit unless `prefilter`."""
+    words = [r.chunk_id for r in bm25(restricted_chunks(chunks, ids) if prefilter else chunks, query).collect()]
+    return local(chunks.sparkSession, phrase_rows(chunks, query, words, near, ids), "item_id long, score double, phrase_ratio double, chunk_ix int, chunk_text string")
 
 
 def restricted_chunks(chunks: DataFrame, ids: DataFrame | None) -> DataFrame:
     return chunks if ids is None else chunks.join(ids.withColumnRenamed("id", "item_id"), "item_id", "left_semi")
 
 
-def exact_evidence(items: DataFrame, chunks: DataFrame, phrase: str, ids: DataFrame | None = None) -> DataFrame:
-    """item_id, n_mentions, chunk_ix, chunk_text: items whose whole text has the phrase, and the first chunk that has it, else the first chunk."""
+def exact_evidence(items: DataFrame, chunks: DataFrame, phrase: str, ids: DataFrame | None = None, carry: list[str | Column] = ()) -> DataFrame:
+    """item_id, n_mentions, chunk_ix, chunk_text, seam: items whose whole text has the phrase, and the first chunk that has it, else the first chunk.
+
+    carry: columns of the items that come along.
+    """
     rows = items if ids is None else items.join(ids, "id", "left_semi")
-    rows = rows.select(F.col("id").alias("item_id"), F.coalesce(F.nullif("transcript", F.lit("")), F.nullif("text_content", F.lit("")), F.lit("")).alias("body"))
-    counted = rows.select("item_id", mentions(F.col("body"), phrase).alias("n_mentions")).where("n_mentions > 0")
+    body = F.coalesce(F.nullif("transcript", F.lit("")), F.nullif("text_content", F.lit("")), F.lit(""))
+    counted = rows.select(F.col("id").alias("item_id"), mentions(body, phrase).alias("n_mentions"), *carry).where("n_mentions > 0")
     needle = " ".join(phrase.casefold().split())
-    own = chunks.join(counted, "item_id").withColumn("seam", ~F.contains(plain(F.col("chunk_text")), F.lit(needle)))
-    return best_per(own.select("item_id", "n_mentions", "chunk_ix", "chunk_text", "seam"), "item_id", [F.asc("seam"), F.asc("chunk_ix")])
+    seam = ~F.contains(plain(F.col("chunk_text")), F.lit(needle))
+    # the first chunk of each item by an aggregation that combines map-side
+    first = chunks.groupBy("item_id").agg(F.min_by(F.struct("chunk_ix", "chunk_text", seam.alias("seam")), F.struct(seam, "chunk_ix")).alias("c"))
+    return counted.join(first, "item_id").select("*", "c.chunk_ix", "c.chunk_text", "c.seam").drop("c")
+
+
+def fused_rows(evidence: dict[str, list[dict]]) -> list[dict]:
+    """The best evidence of each item over the sources, with source and priority; on equal scores the earlier source."""
+    best: dict[int, dict] = {}
+    for source in sorted(evidence, key=PRIORITY.__getitem__):
+        for r in evidence[source]:
+            if r["item_id"] not in best or r["score"] > best[r["item_id"]]["score"]:
+                best[r["item_id"]] = r | {"source": source, "priority": PRIORITY[source]}
+    return list(best.values())
 
 
 def fuse(evidence: dict[str, DataFrame], columns: list[str]) -> DataFrame:

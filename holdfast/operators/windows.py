@@ -58,17 +58,16 @@ def word_heat(docs: DataFrame, id_col: str, text_col: str, score) -> DataFrame:
     rows = rows.withColumn("at", F.aggregate(sizes, start, step, lambda s: s["out"]))
     stride = F.greatest(F.lit(1), F.floor((F.size("w") - HEAT_WORDS) / HEAT_WINDOWS) + 1)
     starts = F.filter(F.sequence(F.lit(0), F.size("w") - HEAT_WORDS), lambda i: i % stride == 0)
-    windows = rows.select("id", "__text", "at", F.explode(starts).alias("i"))
-    first, last = F.get("at", F.col("i")), F.get("at", F.col("i") + HEAT_WORDS - 1)
-    windows = windows.select("id", "at", "i", score(F.substring(F.col("__text"), first["a"] + 1, last["b"] - first["a"])).alias("s"))
+    # a window takes its own words along, not the text
+    window = lambda i: F.struct(i.alias("i"), F.slice("at", i + 1, F.lit(HEAT_WORDS)).alias("places"), F.substring(F.col("__text"), F.get("at", i)["a"] + 1, F.get("at", i + HEAT_WORDS - 1)["b"] - F.get("at", i)["a"]).alias("w"))
+    windows = rows.select("id", F.explode(F.transform(starts, window)).alias("x")).select("id", "x.i", "x.places", score(F.col("x.w")).alias("s"))
     own = Window.partitionBy("id")
     z = (F.col("s") - F.avg("s").over(own)) / F.stddev_pop("s").over(own)
     windows = windows.withColumn("sd", F.stddev_pop("s").over(own)).withColumn("z", z).where("sd >= 1e-6")
     value = F.least(F.lit(1.0), (F.col("z") - HEAT_FROM) / (HEAT_FULL - HEAT_FROM))
     hot = windows.withColumn("value", value).where("value > 0")
-    by_word = hot.select("id", "at", F.explode(F.sequence(F.col("i"), F.col("i") + HEAT_WORDS - 1)).alias("k"), "value").groupBy("id", "k").agg(F.max("value").alias("value"), F.first("at").alias("at"))
-    place = F.get("at", F.col("k"))
-    spans = by_word.select("id", place["a"].alias("start"), place["b"].alias("stop"), F.round("value", 2).alias("value")).where("value > 0")
+    by_word = hot.select("id", "i", F.posexplode("places").alias("j", "place"), "value").groupBy("id", (F.col("i") + F.col("j")).alias("k")).agg(F.max("value").alias("value"), F.first("place").alias("place"))
+    spans = by_word.select("id", F.col("place.a").alias("start"), F.col("place.b").alias("stop"), F.round("value", 2).alias("value")).where("value > 0")
     return merge_spans(spans, ["id"], "value")
 
 

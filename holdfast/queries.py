@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import scoring, text, vector
 from holdfast.functions.embed import Registry
-from holdfast.functions.fuzzy import ratio_to
 from holdfast.functions.highlight import span_of
 from holdfast.operators import evaluate, windows
 from holdfast.operators import library as ops
@@ -28,6 +27,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 FILTERS = S.Filters("", ["text", "audio"], ["src1", "src2", "toxic"], date(2024, 1, 2), date(2024, 1, 30))
 WORDS = "the of and"
+DECOYS = 16
 PHRASE = "in the"
 
 
@@ -45,8 +45,18 @@ def _vector(lib: library.Library, space: str, vec_id: int = 0) -> list[float]:
     return list(lib.embeddings.where((F.col("space") == space) & (F.col("vec_id") == vec_id)).select("embedding").first()[0])
 
 
+SPACES = ("image_a", "image_b", "text")
+
+
 def _vectors(lib: library.Library) -> dict[str, list[float]]:
-    return {s: _vector(lib, s) for s in ("image_a", "image_b", "text")}
+    rows = {r.space: list(r.embedding) for r in lib.embeddings.where((F.col("vec_id") == 0) & F.col("space").isin(*SPACES)).select("space", "embedding").collect()}
+    return {s: rows[s] for s in SPACES}
+
+
+def _calibration(lib: library.Library, spaces: tuple[str, ...] = SPACES) -> DataFrame:
+    """The tables have no queries: vectors below DECOYS stand in for the decoys, and the others are the library."""
+    rows = lib.embeddings.where((F.col("vec_id") < DECOYS) & F.col("space").isin(*spaces)).orderBy("vec_id").select("space", "embedding").collect()
+    return S.calibration(lib.embeddings.where(F.col("vec_id") >= DECOYS), {s: [list(r.embedding) for r in rows if r.space == s] for s in spaces})
 
 
 # --- nearest neighbours, calibration, evidence
@@ -82,14 +92,14 @@ def cosine_exact(spark, sf_dir):
     return lib.embeddings.where("space = 'text'").select("vec_id", F.round(vector.dot_constant(F.col("embedding"), _vector(lib, "text")), 6).alias("cosine"))
 
 
-CALIBRATION = """n AS (SELECT space, vec_id, v, row_number() OVER (PARTITION BY space ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY space) AS population FROM vectors),
+CALIBRATION = """n AS (SELECT space, vec_id, v, row_number() OVER (PARTITION BY space ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY space) AS population FROM vectors WHERE vec_id >= 16),
 calibration AS (SELECT b.space, avg(s) AS mean, stddev_pop(s) AS stddev, count(*) AS sample_n, max(population) AS population FROM (
-  SELECT b.space, b.population, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS s FROM n a JOIN n b ON a.space = b.space AND a.i <= 16 AND b.i > 16 AND b.i <= 416) b GROUP BY b.space)"""
+  SELECT b.space, b.population, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS s FROM vectors a JOIN n b ON a.space = b.space AND a.vec_id < 16 AND b.i <= 400) b GROUP BY b.space)"""
 
 
 @query(sql("vectors") + ", " + CALIBRATION + " SELECT space, round(mean, 6) AS mean, round(stddev, 6) AS stddev, sample_n, population FROM calibration")
 def calibration_stats(spark, sf_dir):
-    rows = search.calibrations(from_tables(spark, sf_dir).embeddings)
+    rows = _calibration(from_tables(spark, sf_dir))
     return rows.select("space", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"), "sample_n", "population")
 
 
@@ -99,7 +109,7 @@ SCORE = "100 / (1 + exp(-1.1 * (cosine - mean) / stddev))"
 @query(sql("vectors") + ", " + CALIBRATION + f" SELECT item_id, round(max({SCORE}), 6) AS score FROM {_near('text')} JOIN calibration USING (space) GROUP BY item_id")
 def text_evidence(spark, sf_dir):
     lib = from_tables(spark, sf_dir)
-    best, _ = S.text_evidence(lib.embeddings, _vector(lib, "text"), S.calibration(lib.embeddings, "text"))
+    best, _ = S.text_evidence(lib.embeddings, _vector(lib, "text"), _calibration(lib, ("text",)))
     return best.select("item_id", F.round("score", 6).alias("score"))
 
 
@@ -114,7 +124,7 @@ image AS (SELECT * FROM keys QUALIFY row_number() OVER (PARTITION BY item_id ORD
 @query(sql("vectors") + ", " + CALIBRATION + ", " + IMAGE + " SELECT item_id, frame_id, round(score, 6) AS score, n_spaces FROM image")
 def image_ensemble(spark, sf_dir):
     lib = from_tables(spark, sf_dir)
-    rows = S.image_evidence(lib.embeddings, {s: _vector(lib, s) for s in S.IMAGE_SPACES}, search.calibrations(lib.embeddings))
+    rows = S.image_evidence(lib.embeddings, {s: _vector(lib, s) for s in S.IMAGE_SPACES}, _calibration(lib))
     return rows.select("item_id", "frame_id", F.round("score", 6).alias("score"), "n_spaces")
 
 
@@ -125,7 +135,7 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, p) = 1"""
 )
 def fusion_numeric(spark, sf_dir):
     lib = from_tables(spark, sf_dir)
-    c, v = search.calibrations(lib.embeddings), _vectors(lib)
+    c, v = S.by_space(_calibration(lib)), _vectors(lib)
     image = S.image_evidence(lib.embeddings, {s: v[s] for s in S.IMAGE_SPACES}, c)
     best, _ = S.text_evidence(lib.embeddings, v["text"], c)
     return S.fuse({"image": image, "text": best}, []).select("item_id", "source", F.round("score", 6).alias("score"))
@@ -171,26 +181,33 @@ def exact_search(spark, sf_dir):
 def hybrid_search(spark, sf_dir):
     """The flagship: filters, three spaces, ensemble, calibration, BM25, fuzzy phrases, fusion, enrichment."""
     lib = from_tables(spark, sf_dir)
-    return search.hybrid(lib, S.Filters(WORDS), _vectors(lib))
+    return search.hybrid(lib, S.Filters(WORDS), _vectors(lib), _calibration(lib))
 
 
 @query()
 def hybrid_search_filtered(spark, sf_dir):
     lib = from_tables(spark, sf_dir)
-    return search.hybrid(lib, S.Filters(WORDS, FILTERS.kinds, FILTERS.tags, FILTERS.date_from, FILTERS.date_to), _vectors(lib))
+    return search.hybrid(lib, S.Filters(WORDS, FILTERS.kinds, FILTERS.tags, FILTERS.date_from, FILTERS.date_to), _vectors(lib), _calibration(lib))
 
 
-@query()
+@query(
+    sql("items", "tags", "item_tags", "chunks") + f""", c AS (SELECT id AS item_id, kind, label, ((length(t) - length(replace(t, '{PHRASE}', ''))) / {len(PHRASE)})::INTEGER AS n_mentions FROM (SELECT id, kind, label, {PLAIN.format(x="coalesce(nullif(transcript, ''), nullif(text_content, ''), '')")} AS t FROM items)),
+o AS (SELECT item_id, kind, label, n_mentions, chunk_ix, chunk_text FROM chunks JOIN c USING (item_id) WHERE n_mentions > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY NOT contains({PLAIN.format(x='chunk_text')}, '{PHRASE}'), chunk_ix) = 1),
+w AS (SELECT *, list_filter(regexp_split_to_array(chunk_text, '\\s+'), lambda w: w <> '') AS w FROM o),
+g AS (SELECT item_id, string_agg(name, ',' ORDER BY lower(name), name) AS tags FROM item_tags JOIN tags USING (tag_id) GROUP BY item_id)
+SELECT item_id, kind, label, n_mentions, chunk_ix, 100.0::DOUBLE AS score, 'strong' AS tier, g.tags, CASE WHEN kind <> 'image' THEN array_to_string(w[1:25], ' ') || CASE WHEN len(w) > 25 THEN '…' ELSE '' END END AS snippet FROM w LEFT JOIN g USING (item_id)"""
+)
 def quoted_search(spark, sf_dir):
     lib = from_tables(spark, sf_dir)
-    return search.hybrid(lib, S.Filters(f"«{PHRASE}»"), {})
+    rows = search.hybrid(lib, S.Filters(f"«{PHRASE}»"), {})
+    return rows.select("item_id", "kind", "label", "n_mentions", "chunk_ix", "score", "tier", F.array_join("tags", ",").alias("tags"), "snippet")
 
 
 @query()
 def fuzzy_phrase(spark, sf_dir):
     passage = " ".join(read(spark, sf_dir, "documents").orderBy("doc_id").first()["text"].split()[20:29])
-    rows = S.phrase_evidence(from_tables(spark, sf_dir).chunks, passage, ratio_to(passage))
-    return rows.select("item_id", "chunk_ix", F.round("ratio", 4).alias("ratio"), F.round("score", 4).alias("score"))
+    rows = S.phrase_evidence(search.with_chunks(from_tables(spark, sf_dir)).chunks, passage)
+    return rows.select("item_id", "chunk_ix", F.round("phrase_ratio", 4).alias("ratio"), F.round("score", 4).alias("score"))
 
 
 # --- filters, joins, aggregates
@@ -340,10 +357,14 @@ def snippets_and_labels(spark, sf_dir):
 GRAMS = "list_distinct(list_transform(range(1, greatest(length({x}) - 1, 2)), lambda i: substr({x}, i, 3)))"
 
 
-@query(f"WITH t AS (SELECT doc_id AS id, substr(text, 1, 40) AS q, substr(text, 30, 200) AS t FROM documents) SELECT id, round(CASE WHEN length(q) = 0 OR length(t) = 0 THEN 0 ELSE len(list_intersect({GRAMS.format(x='q')}, {GRAMS.format(x='t')})) / len({GRAMS.format(x='q')}) END, 6)::DOUBLE AS overlap FROM t")
+NEEDLE = "there are other things between the lines"
+
+
+@query(f"WITH t AS (SELECT doc_id AS id, '{NEEDLE}' AS q, text AS t FROM documents) SELECT id, round(CASE WHEN length(t) = 0 THEN 0 ELSE len(list_intersect({GRAMS.format(x='q')}, {GRAMS.format(x='t')})) / len({GRAMS.format(x='q')}) END, 6)::DOUBLE AS overlap FROM t")
 def trigram_overlap(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("q"), F.substring("text", 30, 200).alias("t"))
-    return rows.select("id", F.round(text.trigram_overlap(F.col("q"), F.col("t")), 6).alias("overlap"))
+    """One phrase against every whole text."""
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return rows.select("id", F.round(text.trigram_overlap(F.lit(NEEDLE), F.col("text")), 6).alias("overlap"))
 
 
 @query(f"SELECT doc_id AS id, contains({PLAIN.format(x='text')}, 'in the') AS found FROM documents")
@@ -351,7 +372,7 @@ def literal_containment(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.literally_contains(F.col("text"), F.lit("In  the")).alias("found"))
 
 
-NAME = r"""trim(regexp_replace(regexp_replace(trim(regexp_replace(substr(text, 1, 120), '[<>:"/\\|?*\x00-\x1f]', ' ', 'g')), '\.+$', ''), '\s+', ' ', 'g'))"""
+NAME = r"""trim(regexp_replace(regexp_replace(trim(regexp_replace(text, '[<>:"/\\|?*\x00-\x1f]', ' ', 'g')), '\.+$', ''), '\s+', ' ', 'g'))"""
 
 
 @query(f"SELECT doc_id AS id, sha256(text) AS hash, rtrim(substr({NAME}, 1, 80)) AS name FROM documents")
@@ -451,17 +472,17 @@ def segment_chunks(spark, sf_dir):
 
 # --- evaluation
 
-EVALUATION = """q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 21), m AS (SELECT 'plain' AS model, query_id, q.label AS ql, e.label, e.vec_id, list_sum(list_transform(list_zip(q, embedding::DOUBLE[]), lambda p: p[1] * p[2])) AS s FROM q JOIN embeddings e ON e.vec_id >= 21
-  UNION ALL SELECT 'half', query_id, q.label, e.label, e.vec_id, list_sum(list_transform(list_zip(q[1:32], embedding[1:32]::DOUBLE[]), lambda p: p[1] * p[2])) FROM q JOIN embeddings e ON e.vec_id >= 21)"""
+EVALUATION = """q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), m AS (SELECT 'plain' AS model, query_id, q.label AS ql, e.label, e.vec_id, list_sum(list_transform(list_zip(q, embedding::DOUBLE[]), lambda p: p[1] * p[2])) AS s FROM q JOIN embeddings e ON e.vec_id <> query_id
+  UNION ALL SELECT 'half', query_id, q.label, e.label, e.vec_id, list_sum(list_transform(list_zip(q[1:32], embedding[1:32]::DOUBLE[]), lambda p: p[1] * p[2])) FROM q JOIN embeddings e ON e.vec_id <> query_id)"""
 
 
 def _evaluation(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 21").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("q"))
-    rest = e.where("vec_id >= 21")
-    plain = evaluate.similarity_matrix(q.select("query_id", "q"), rest.select("vec_id", "embedding")).withColumn("model", F.lit("plain"))
-    half = evaluate.similarity_matrix(q.select("query_id", F.slice("q", 1, 32).alias("q")), rest.select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))).withColumn("model", F.lit("half"))
-    relevant = q.select("query_id", "ql").join(rest.select("vec_id", "label"), F.col("ql") == F.col("label")).select("query_id", "vec_id")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("q"))
+    other = F.col("query_id") != F.col("vec_id")
+    plain = evaluate.similarity_matrix(q.select("query_id", "q"), e.select("vec_id", "embedding")).where(other).withColumn("model", F.lit("plain"))
+    half = evaluate.similarity_matrix(q.select("query_id", F.slice("q", 1, 32).alias("q")), e.select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))).where(other).withColumn("model", F.lit("half"))
+    relevant = q.select("query_id", "ql").join(e.select("vec_id", "label"), (F.col("ql") == F.col("label")) & other).select("query_id", "vec_id")
     return plain, half, relevant
 
 
@@ -489,9 +510,9 @@ def zscore_ensemble(spark, sf_dir):
     return _metrics(evaluate.metrics(evaluate.ranks(both, relevant)))
 
 
-@query("SELECT vec_id, array_to_string(list_transform(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))), lambda x: round(x, 4)::VARCHAR)[1:1], ',')::DOUBLE AS first FROM embeddings")
+@query("WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))) AS n FROM embeddings) SELECT vec_id, (i - 1)::INTEGER AS i, round(embedding[i]::DOUBLE / n, 4) AS x FROM n, range(1, 65) r(i)")
 def normalize_vectors(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.get(vector.normalize(F.col("embedding")), 0), 4).alias("first"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vector.normalize(F.col("embedding"))).alias("i", "x")).select("vec_id", "i", F.round("x", 4).alias("x"))
 
 
 @query("WITH p AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2) SELECT label, (i - 1)::INTEGER AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 5) AS x FROM p")
@@ -578,10 +599,17 @@ def stub_embeddings(spark, sf_dir):
 
 @query()
 def synthetic_library(spark, sf_dir):
-    return files.synthetic(spark, 300)[1]
+    """As many items as there are documents."""
+    return files.synthetic(spark, read(spark, sf_dir, "documents").count())[1]
 
 
-@query()
+@query(
+    """WITH e AS (SELECT user_id, list({'status': CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'done' END, 'n': 0::BIGINT, 'r': 0::BIGINT} ORDER BY ts, event_id) AS l FROM events GROUP BY user_id),
+f AS (SELECT user_id, list_reduce(list_prepend({'status': '', 'n': 0::BIGINT, 'r': 0::BIGINT}, l), lambda a, x:
+  CASE WHEN a.status = '' OR a.status = x.status OR a.status = 'queued' OR a.status = 'running' OR x.status = 'queued'
+    THEN {'status': x.status, 'n': a.n + 1, 'r': a.r} ELSE {'status': a.status, 'n': a.n + 1, 'r': a.r + 1} END) AS s FROM e)
+SELECT user_id AS item_id, s.status AS status, s.n AS n_events, s.r AS n_refused FROM f"""
+)
 def job_states_streamed(spark, sf_dir):
     e = stream.event_stream(spark, f"{sf_dir}/events.parquet")
     status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "running").when(F.col("event_type") == "error", "failed").otherwise("done")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.functions.text import content_hash, default_label, parse_moment, safe_name, stem
+from holdfast.functions.text import content_hash, default_label, parse_moment, safe_name, stem, unique_names
 
 #: Suffixes by kind.
 SUFFIXES = {
@@ -88,11 +92,69 @@ def export_notes(items: DataFrame, path: str) -> DataFrame:
     return named.select("name")
 
 
+def copied(files: DataFrame, root: str, source_col: str = "path", target_col: str = "target") -> DataFrame:
+    """Copies each file to its target below root, where it isn't there yet: source, target, copied, error.
+
+    A copy is written under a name of its own and moved, so repeated tasks do no harm; a file that can't be copied is a row with an error and stops no other.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        to, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            rows = []
+            for source, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                done, error = False, None
+                try:
+                    path = f"{base}/{target}"
+                    if to.get_file_info(path).type == fs.FileType.NotFound:
+                        of, where = fs.FileSystem.from_uri(source if ":" in source else f"file://{source}")
+                        to.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                        own = f"{path}.{uuid.uuid4().hex}"
+                        fs.copy_files(where, own, source_filesystem=of, destination_filesystem=to)
+                        to.move(own, path)
+                        done = True
+                except Exception as e:  # whatever is wrong with one file is its row's
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((source, target, done, error))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.string()))], names=["source", "target", "copied", "error"])
+
+    return files.select(F.col(source_col).cast("string"), F.col(target_col).cast("string")).mapInArrow(run, "source string, target string, copied boolean, error string")
+
+
+def store_originals(scanned: DataFrame, root: str) -> DataFrame:
+    """The files of `scan` copied to where their content hash puts them; files of equal content are one."""
+    once = scanned.groupBy(stored_path(F.col("content_hash"), F.col("source_path")).alias("target")).agg(F.min("source_path").alias("path"))
+    return copied(once, root)
+
+
+def export_originals(items: DataFrame, root: str, target: str) -> DataFrame:
+    """Stored originals below root copied to the folder target under their labels: source, target, copied, error. Items of one label are told apart by number."""
+    named = items.where("stored_path is not null").select("id", safe_name(F.col("label")).alias("name"), "stored_path", suffix(F.col("stored_path")).alias("suffix"))
+    named = unique_names(named, "name", "id").withColumn("target", F.concat("name", F.when(F.col("suffix") != "", F.concat(F.lit("."), "suffix")).otherwise("")))
+    return copied(named.select(F.concat(F.lit(root.rstrip("/") + "/"), "stored_path").alias("path"), "target"), target)
+
+
 def directory_size(spark: SparkSession, path: str) -> int:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
+class Sizes:
+    """Sizes of directories that are looked up again only after `seconds`."""
+
+    def __init__(self, spark: SparkSession, seconds: float = 60.0, clock=time.monotonic):
+        self.spark, self.seconds, self.clock, self.known = spark, seconds, clock, {}
+
+    def of(self, path: str) -> int:
+        at, size = self.known.get(path, (None, 0))
+        if at is None or self.clock() - at >= self.seconds:
+            size = directory_size(self.spark, path)
+            self.known[path] = (self.clock(), size)
+        return size
+
+
 VOCABULARY = "river stone light winter garden window paper music letter morning city forest road bridge market story summer water mountain silence".split()
 
 

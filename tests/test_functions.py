@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import re
 from datetime import datetime
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import embed, scoring, text, vector
 from holdfast.functions.fuzzy import ratio_to, similarity, word_agreement
-from holdfast.functions.highlight import find_span, same_word, same_word_column, span_of
+from holdfast.functions.highlight import same_word, span_of
 from holdfast.operators import windows
 from holdfast.sources import files
 
@@ -138,20 +140,45 @@ def test_formats(spark):
     assert value(spark, scoring.out_of_memory(F.lit("cublas failed: OUT OF MEMORY"))) and not value(spark, scoring.out_of_memory(F.lit("file not found")))
 
 
-def test_spans():
+def test_spans(spark):
+    def find_span(t, q):
+        found = value(spark, span_of(F.lit(t), F.lit(q)))
+        return found and (found.start, found.stop)
+
     assert find_span("we went to the market today", "went market") == (3, 21)
     assert find_span("nothing here", "zebra") is None and find_span("of in on", "of in") is None
     t = "bridge " + "filler " * 20 + "bridge river bridge"
     a, b = find_span(t, "bridge river")
     assert t[a:b] == "bridge river bridge"
-    assert same_word("книги", "книгою") and not same_word("книга", "конвалія") and same_word("ліс", "лісу") and not same_word("прибуток", "приклад")
+    same = lambda x, y: value(spark, same_word(F.lit(x), F.lit(y)))
+    assert same("книги", "книгою") and not same("книга", "конвалія") and same("ліс", "лісу") and not same("прибуток", "приклад")
+    assert find_span("Іде дощ, а книгу забуто", "книга") == (11, 16) and find_span("", "x") is None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_spans_against_every_stretch(spark, seed):
+    """All stretches of at most twelve words, the first of the best."""
+    r = random.Random(seed)
+    texts = [" ".join(r.choice(["river", "stones", "of", "bank", "the", "cold", "xyz"]) for _ in range(r.randrange(1, 26))) for _ in range(60)]
+    got = [x[0] for x in spark.createDataFrame([(t,) for t in texts], "t string").select(span_of(F.col("t"), F.lit("river stone banks of"))).collect()]
+    for t, g in zip(texts, got, strict=True):
+        words = [(m.start(), m.end(), m[0] in ("river", "stones", "bank")) for m in re.finditer(r"\w+", t)]
+        best = None
+        for i, (a, _, hit) in enumerate(words):
+            for j in range(i, min(i + 12, len(words))):
+                if hit and words[j][2]:
+                    n = sum(h for _, _, h in words[i : j + 1])
+                    worth = 100 * n - 12 * (j - i + 1 - n)
+                    if best is None or worth > best[0]:
+                        best = (worth, a, words[j][1])
+        assert (g and (g.start, g.stop)) == (best and best[1:])
 
 
 def test_span_columns(spark):
     df = spark.createDataFrame([("the river bank", "river"), ("x", "y"), (None, None)], "t string, q string")
-    got = [r[0] for r in df.select(span_of("t", "q")).collect()]
-    assert (got[0].start, got[0].stop) == (4, 9) and got[1] is None or got[1].start is None
-    assert value(spark, same_word_column(F.lit("garden"), F.lit("gardens"))) and not value(spark, same_word_column(F.lit("garden"), F.lit("garlic")))
+    got = [r[0] for r in df.select(span_of(F.col("t"), F.col("q"))).collect()]
+    assert (got[0].start, got[0].stop) == (4, 9) and got[1] is None and got[2] is None
+    assert value(spark, same_word(F.lit("garden"), F.lit("gardens"))) and not value(spark, same_word(F.lit("garden"), F.lit("garlic")))
 
 
 def test_vectors(spark):

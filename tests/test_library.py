@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from holdfast.plans import ingest, search
 from holdfast.queries import QUERIES, _vectors
 from holdfast.sources import files, scratch, store
 from holdfast.sources.library import from_tables
+from holdfast.sources.settings import Settings
 from holdfast.streaming import jobs as stream
 
 
@@ -75,6 +77,88 @@ def test_hybrid_search_ranks_and_an_empty_query_has_no_hits(spark, lib):
     assert exact and all(phrase.lower() in " ".join(lib.items.where(F.col("id") == r.item_id).first()["body"].lower().split()) for r in exact)
 
 
+def test_calibration_by_decoy_queries(spark):
+    rows = [(i, i, "text", None, 0, None, [1.0, float(i)]) for i in range(6)] + [(9, 9, "image_a", None, None, None, [1.0])]
+    e = vectors(spark, rows)
+    got = {r.space: r for r in S.calibration(e, {"text": [[1.0, 0.0], [0.0, 1.0]], "image_a": [[2.0], [2.0]], "image_b": [[1.0]]}, sample=4).collect()}
+    found = np.array([1, 1, 1, 1, 0, 1, 2, 3], float)
+    assert got.keys() == {"text"}  # one space has no spread, one no vectors
+    assert (got["text"].mean, got["text"].stddev, got["text"].sample_n, got["text"].population) == (pytest.approx(found.mean()), pytest.approx(found.std()), 8, 6)
+    assert S.calibration(e, {"text": [[1.0, 0.0]]}, least=7).count() == 0
+    decoys = search.decoys(Registry({"image_a": 8, "image_b": 8, "text": 8}))
+    assert {len(v) for v in decoys.values()} == {len(search.DECOYS)} and set(decoys) == {"image_a", "image_b", "text"}
+
+
+def test_tokens_joined_by_an_underscore_follow_each_other(spark):
+    chunks = spark.createDataFrame([(1, "call foo_bar now"), (2, "foo and bar"), (3, "bar foo"), (4, "foo bar")], "chunk_id long, chunk_text string")
+    assert {r.chunk_id for r in S.bm25(chunks, "foo_bar").collect()} == {1, 4}
+    assert S.needs_order("foo_bar") and not S.needs_order("foo _bar_")
+
+
+def test_settings(tmp_path, spark):
+    path = tmp_path / "a" / "settings.json"
+    s = Settings(str(path))
+    assert s.values["asr_model"] == "large-v3-turbo" and s.values["theme"] == "dark"
+    s.update({"asr_model": "small", "theme": "light", "data_dir": "elsewhere", "device": None})
+    assert Settings(str(path)).values["asr_model"] == "small" and "data_dir" not in path.read_text()
+    for bad in ({"device": "quantum"}, {"asr_model": "gigantic"}, {"snippet_words": 0}, {"download_dir": str(tmp_path / "none")}):
+        with pytest.raises(ValueError):
+            s.update({"theme": "dark", **bad})
+    assert Settings(str(path)).values["theme"] == "light"
+    s.update({"download_dir": str(tmp_path)})
+    assert s.download_dir == tmp_path
+    s.update({"download_dir": ""})
+    assert s.values["download_dir"] == "" and s.download_dir.is_dir()
+    path.write_text('{"theme": "pink", "snippet_words": 7}')
+    assert Settings(str(path)).values["snippet_words"] == 7 and Settings(str(path)).refused.keys() == {"theme"}
+    for broken in ("{ no json", "[1]"):
+        path.write_text(broken)
+        assert Settings(str(path)).values["theme"] == "dark"
+    assert {r.key for r in s.rows(spark).collect()} == set(s.values)
+
+
+def test_originals_are_stored_once_and_exported(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "one.JPG").write_bytes(b"picture")
+    (d / "same.jpg").write_bytes(b"picture")
+    (d / "note.mp3").write_bytes(b"sound")
+    good, _ = files.scan(spark, str(d))
+    root = f"file://{tmp_path}/library"
+    got = files.store_originals(good, root).collect()
+    assert len(got) == 2 and all(r.copied and r.error is None for r in got)
+    assert not any(r.copied for r in files.store_originals(good, root).collect())
+    items = spark.createDataFrame([(i, "My: label", r.target) for i, r in enumerate(sorted(got, key=lambda r: r.target))] + [(7, "gone", "originals/xx/none.mp3")], "id long, label string, stored_path string")
+    out = files.export_originals(items, root, f"file://{tmp_path}/out").collect()
+    assert sum(r.copied for r in out) == 2 and [bool(r.error) for r in out if "none" in r.source] == [True]
+    assert sorted(f.read_bytes() for f in (tmp_path / "out").iterdir()) == [b"picture", b"sound"]
+
+
+def test_sizes_are_looked_up_again_after_a_time(spark, tmp_path):
+    now = [0.0]
+    (tmp_path / "a").write_bytes(b"123")
+    sizes = files.Sizes(spark, 60, lambda: now[0])
+    assert sizes.of(str(tmp_path)) == 3
+    (tmp_path / "b").write_bytes(b"45")
+    now[0] = 59
+    assert sizes.of(str(tmp_path)) == 3
+    now[0] = 60
+    assert sizes.of(str(tmp_path)) == 5
+
+
+def test_a_warm_search_takes_few_jobs(spark, lib):
+    """Five jobs of its own; what Spark adds to one (broadcasts, stages it plans anew) counts as its jobs too."""
+    ready = search.cached(lib)
+    v, query = _vectors(ready), S.Filters("the other thing of this")
+    search.hybrid(ready, query, v).collect()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("warm", "warm")
+    before = len(tracker.getJobIdsForGroup(None))
+    search.hybrid(ready, query, v).collect()
+    spark.sparkContext.setJobGroup("none", "none")
+    assert len(tracker.getJobIdsForGroup(None)) + len(tracker.getJobIdsForGroup("warm")) - before <= 24
+
+
 def test_calibration_is_stale_after_growth():
     assert S.stale(None, 10) and not S.stale({"population": 1000}, 1400) and S.stale({"population": 1000}, 1600)
 
