@@ -25,10 +25,14 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def let(value: Column, of) -> Column:
+    """`of` a value that is worked out once, however often it stands in there."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def first_words(text: Column, n: int) -> Column:
     """The first n words, with an ellipsis if there are more."""
-    w = words(text)
-    return F.concat(F.array_join(F.slice(w, 1, n), " "), F.when(F.size(w) > n, ELLIPSIS).otherwise(""))
+    return let(words(text), lambda w: F.concat(F.array_join(F.slice(w, 1, n), " "), F.when(F.size(w) > n, ELLIPSIS).otherwise("")))
 
 
 def snippet(text: Column, n: int = SNIPPET_WORDS) -> Column:

@@ -17,6 +17,7 @@ from holdfast.functions import scoring, vector
 from holdfast.functions.fuzzy import similarities
 from holdfast.functions.text import mentions, plain, query_tokens
 from holdfast.sources.library import KINDS
+from holdfast.sources.scratch import materialise
 
 K, CONTENDERS, PHRASE_CHUNKS, BM25_ROWS = 200, 150, 60, 200
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -75,6 +76,18 @@ def restricted(embeddings: DataFrame, ids: DataFrame | None) -> DataFrame:
     return embeddings if ids is None else embeddings.join(ids.withColumnRenamed("id", "item_id"), "item_id", "left_semi")
 
 
+def among(column: str, numbers: list[int]) -> Column:
+    """Whether a column is one of some hundred whole numbers, as one expression."""
+    return F.expr(f"{column} in ({', '.join(str(int(n)) for n in numbers)})") if numbers else F.lit(False)
+
+
+def places(pairs: list[tuple]) -> Column:
+    """Whether (item_id, chunk_ix) is one of some hundred pairs of whole numbers; the items alone narrow the scan."""
+    known = [(int(i), int(c)) for i, c in pairs if c is not None]
+    keys = ", ".join(f"'{i}:{c}'" for i, c in known)
+    return among("item_id", sorted({i for i, _ in known})) & F.expr(f"concat_ws(':', item_id, chunk_ix) in ({keys})") if known else F.lit(False)
+
+
 def local(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """Bounded results that were put together on the driver, as one partition."""
     names = [f.split()[0] for f in schema.split(", ")]
@@ -210,7 +223,7 @@ def image_rows(embeddings: DataFrame, queries: dict[str, list[float]], found: li
     contenders = sorted(keys, key=lambda key: (-max(keys[key].values()), *order(key)))[:CONTENDERS]
     wanted = {(*key, s) for key in contenders for s in queries if s not in keys[key]}
     if wanted:
-        rows = embeddings.where(F.col("space").isin(*queries) & F.col("item_id").isin(sorted({w[0] for w in wanted})))
+        rows = embeddings.where(F.col("space").isin(*queries) & among("item_id", sorted({w[0] for w in wanted})))
         filled = rows.select("item_id", "frame_id", "space", "ts_s", "embedding").mapInArrow(_missing(queries, wanted), "item_id long, frame_id long, space string, ts_s double, cosine double")
         for r in filled.groupBy("item_id", "frame_id", "space").agg(F.max("cosine").alias("cosine"), F.max("ts_s").alias("ts_s")).collect():
             add(r.asDict())
@@ -275,13 +288,14 @@ def _frequency(found: str, token: str) -> Column:
 def bm25(chunks: DataFrame, query: str, limit: int = BM25_ROWS) -> DataFrame:
     """chunk_id, score of the best chunks that have any token of the query.
 
-    One pass over the chunks: only the query's tokens are counted, so nothing but hits is shuffled.
+    One pass over the texts: only the query's tokens are counted, so nothing but hits is shuffled.
     """
     sought = sorted({t for t in query_tokens(query) if t.strip("_")})
-    own = chunks.select("chunk_id", tokens(F.col("chunk_text")).alias("t"))
-    own = own.select("chunk_id", F.size("t").cast("double").alias("length"), *[_frequency("t", s).alias(f"tf{i}") for i, s in enumerate(sought)])
     if not sought:
-        return own.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+        return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    own = chunks.select("chunk_id", tokens(F.col("chunk_text")).alias("t"))
+    # a few numbers for each chunk, written once, as statistics and scores both need them
+    own = materialise(own.select("chunk_id", F.size("t").cast("double").alias("length"), *[_frequency("t", s).alias(f"tf{i}") for i, s in enumerate(sought)]), "counts")
     stats = own.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(sought))])
     rows = own.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -319,10 +333,7 @@ def phrase_rows(chunks: DataFrame, query: str, words: list[int], near: list[tupl
 
     Candidates are the BM25 rows and the nearest chunks, BM25_ROWS + PHRASE_CHUNKS at most, so their texts are compared where the search is put together.
     """
-    place = F.concat_ws(":", "item_id", "chunk_ix")
-    beside = F.col("item_id").isin(sorted({i for i, _ in near})) & place.isin([f"{i}:{c}" for i, c in near if c is not None])
-    wanted = F.col("chunk_id").isin(words) | beside if near else F.col("chunk_id").isin(words)
-    found = restricted_chunks(chunks.where(wanted), ids).select("item_id", "chunk_ix", "chunk_text").collect() if words or near else []
+    found = restricted_chunks(chunks.where(among("chunk_id", words) | places(list(near))), ids).select("item_id", "chunk_ix", "chunk_text").collect() if words or near else []
     n = len(query.split()) if n_words is None else n_words
     best: dict[int, dict] = {}
     for r, ratio in zip(found, similarities([r.chunk_text for r in found], query), strict=True):

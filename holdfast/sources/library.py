@@ -127,6 +127,28 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Library:
     return Library(items(spark, sf_dir), tags(spark, sf_dir), item_tags(spark, sf_dir), embeddings(spark, sf_dir, n), jobs(spark, sf_dir), frames(spark, sf_dir, n), segments(spark, sf_dir))
 
 
+def of_synthetic(items: DataFrame, embeddings: DataFrame) -> Library:
+    """A library from `files.synthetic`: chunks come with the embeddings, there are no tags, jobs or segments."""
+    spark = items.sparkSession
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = items.select(
+        "id", "kind", F.concat_ws(" ", "kind", "id").alias("label"), F.lit("ready").alias("status"), F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+        *[null("string").alias(c) for c in ("stored_path", "content_hash", "text_content", "transcript", "transcript_lang", "body", "source")],
+        null("long").alias("size_bytes"), null("double").alias("duration_s"), F.lit(False).alias("transcript_edited"),
+    )
+    image = F.col("space") != "text"
+    vectors = embeddings.select(
+        F.monotonically_increasing_id().alias("vec_id"), "item_id", "space", F.when(image, F.col("item_id") * 100 + F.col("ix")).alias("frame_id"), F.when(~image, F.col("ix")).alias("chunk_ix"), "ts_s", "embedding"
+    )
+    chunks = embeddings.where(~image).select((F.col("item_id") * CHUNKS_OF_ITEM + F.col("ix")).alias("chunk_id"), "item_id", F.col("ix").alias("chunk_ix"), "chunk_text")
+    frames = vectors.where("space = 'image_a'").select(F.col("frame_id").alias("id"), "item_id", "ts_s", F.concat_ws("/", F.lit("frames"), "frame_id").alias("path"))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    return Library(
+        rows, empty("tag_id string, name string"), empty("item_id long, tag_id string"), vectors,
+        empty("id long, item_id long, type string, status string, progress double, updated_at timestamp_ntz"), frames, empty("item_id long, ix long, start double, text string"), {"chunks": chunks},
+    )
+
+
 #: The same relations as common table expressions of DuckDB.
 SQL = {
     "items": """items AS (SELECT doc_id AS id, ['text', 'audio', 'video', 'image'][(doc_id % 4) + 1] AS kind,
