@@ -44,9 +44,9 @@ def range_of(key: Column, bounds: list, kind: str = "bigint") -> Column:
     )
 
 
-def splitters(rows: DataFrame, key: str, size: str, ranges: int, total: int) -> list:
+def splitters(rows: DataFrame, key: str, size: str, ranges: int, total: int, samples: int = SAMPLES) -> list:
     """ranges - 1 quantiles, or none, of a sample in which a row stands size / step times on average. A hot key stands more than once."""
-    step = max(total / (ranges * SAMPLES), 1.0)
+    step = max(total / (ranges * samples), 1.0)
     copies = F.floor(F.col(size) / step + unit_hash(F.col(key), seed=SEED)).cast("int")
     sample = rows.select(F.col(key).alias("k"), copies.alias("n")).where("n > 0 and k is not null").select("k", F.explode(F.sequence(F.lit(1), "n")))
     return sorted(sample.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first()["q"] or [])
@@ -59,11 +59,11 @@ class Cells:
     If `hot`, `subdivide` and `placed` need the name of a column with row numbers that were written with the rows.
     """
 
-    def __init__(self, rows: DataFrame, key: str, size: str, ranges: int, total: int, nulls: int, columns: list[str]):
+    def __init__(self, rows: DataFrame, key: str, size: str, ranges: int, total: int, nulls: int, columns: list[str], samples: int = SAMPLES):
         self.key, self.size, self.ranges, self.total, self.kind = key, size, ranges, total, rows.schema[key].dataType.simpleString()
         self.names = fresh(columns, "range", "part", "salt")
         self.finer, self.own = fresh([*columns, *self.names], "finer", "own")
-        found = splitters(rows, key, size, ranges, total)
+        found = splitters(rows, key, size, ranges, total, samples)
         self.bounds = sorted(set(found))
         hot = {k: n for k in self.bounds if (n := found.count(k)) > 1}
         self.often = F.lit(None).cast("int")

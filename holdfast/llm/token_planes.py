@@ -38,8 +38,10 @@ MAGIC, FOOTER = b"HFPLANE1", "<IIIIB8s"
 BLOCK, LEVEL, END_ID = 1 << 16, 3, 0
 #: Bytes of text meant for a file, and the fewest files.
 FILE_BYTES, LEAST_FILES = 1 << 28, 12
+#: Sampled ids for each file: files differ by some per cent.
+SAMPLES = 500
 #: What a worker remembers of pieces of text and their ids: bytes in all (as far as they are counted, the store is emptied when full), and in a piece.
-REMEMBERED, LONGEST_PIECE = 192 << 20, 64
+REMEMBERED, LONGEST_PIECE = 400 << 20, 64
 #: Bytes that a piece in the store takes beside its characters and ids, and how many new pieces go through the library as one text.
 ENTRY, JOINED = 150, 2048
 #: Texts cut at a time: few, so that their pieces stay in the cache of the processor.
@@ -91,10 +93,6 @@ class Encoder:
         for token, i in vocabulary.items():
             self.size[i] = len(token)
 
-    def _keep(self, pieces: dict[str, bytes]) -> None:
-        self.known.update(pieces)
-        self.held += len(pieces) * ENTRY + sum(map(len, pieces)) + sum(map(len, pieces.values()))
-
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -140,18 +138,16 @@ class Encoder:
             cut.append((pieces, found))
         made = {p: atoms(p) for p in wanted}
         new = dict(self._learnt(list({a for x in made.values() for a in x if a not in self.known})))
-        of = lambda a: new[a] if a in new else get(a)
-        new.update([(p, b"".join(map(of, x))) for p, x in made.items() if len(x) > 1])
-        # long pieces, such as sentences in scripts without spaces, hardly come again
-        self._keep({p: ids for p, ids in new.items() if len(p) <= LONGEST_PIECE})
-        odd, out = iter(self._ids(whole)), []
-        for c in cut:
-            if c is None:
-                out.append(next(odd).tobytes())
-            elif None in c[1]:
-                out.append(b"".join([new[p] if f is None else f for p, f in zip(*c, strict=True)]))
-            else:
-                out.append(b"".join(c[1]))
+        self.known.update(new)
+        joined = {p: b"".join(map(get, x)) for p, x in made.items() if len(x) > 1}
+        self.known.update(joined)
+        odd = iter(self._ids(whole))
+        out = [next(odd).tobytes() if c is None else b"".join(map(get, c[0]) if None in c[1] else c[1]) for c in cut]
+        for part in (new, joined):
+            # long pieces, such as sentences in scripts without spaces, hardly come again
+            for p in [p for p in part if len(p) > LONGEST_PIECE]:
+                del self.known[p], part[p]
+            self.held += len(part) * ENTRY + sum(map(len, part)) + sum(map(len, part.values()))
         return out
 
 
@@ -336,7 +332,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sizes, row = scope.write(rows.select("doc_id", (F.octet_length("text") + 8).cast("long").alias("size")), "sizes"), None
     total, nulls = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("size"))), F.lit(0))).first()
-    cells = Cells(sizes, "doc_id", "size", max(LEAST_FILES, -(-total // file_bytes)), total, nulls, ["doc_id", "text", "size", "row_id"])
+    cells = Cells(sizes, "doc_id", "size", max(LEAST_FILES, -(-total // file_bytes)), total, nulls, ["doc_id", "text", "size", "row_id"], SAMPLES)
     if cells.hot:
         rows, row = numbered(scope, rows)
         sizes = rows.select(row, "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"))
