@@ -136,8 +136,10 @@ class Encoder:
             if None in found:
                 wanted.update([p for p, f in zip(pieces, found, strict=True) if f is None])
             cut.append((pieces, found))
-        made = {p: atoms(p) for p in wanted}
-        new = dict(self._learnt(list({a for x in made.values() for a in x if a not in self.known})))
+        # a piece of letters and digits is its own only atom
+        made = {p: atoms(p) for p in wanted if not p.isalnum()}
+        atoms_of = {p for p in wanted if p not in made}.union(*made.values())
+        new = dict(self._learnt(list(atoms_of.difference(self.known))))
         self.known.update(new)
         joined = {p: b"".join(map(get, x)) for p, x in made.items() if len(x) > 1}
         self.known.update(joined)
