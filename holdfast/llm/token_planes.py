@@ -103,8 +103,7 @@ class Encoder:
             return False
         return not any(c in text and (not ord(c) or f" {c}" in text or f"{c} " in text) for c in RARE)
 
-    def _learnt(self, pieces: list[str]):
-        """Each piece and its ids."""
+    def _learn(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), JOINED):
             part = pieces[i : i + JOINED]
             text = ["\n" + p[1:] if p[0] == "\0" else " " + p for p in part]
@@ -116,7 +115,7 @@ class Encoder:
             if not (len(ids) and (ends[last - 1] == stop).all()):
                 raise ValueError("the tokenizer joined pieces: not a byte-level one")
             raw = ids.tobytes()
-            yield from ((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, first.tolist(), last.tolist(), strict=True))
+            self.known.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip(first.tolist(), last.tolist(), strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [ids for i in range(0, len(texts), TEXTS) for ids in self._encode(texts[i : i + TEXTS])]
@@ -133,23 +132,35 @@ class Encoder:
             pieces = t.split(" ")
             pieces[0] = "\0" + pieces[0]
             found = list(map(get, pieces))
-            if None in found:
-                wanted.update([p for p, f in zip(pieces, found, strict=True) if f is None])
-            cut.append((pieces, found))
+            new_at, i = [], -1
+            for _ in range(found.count(None)):
+                i = found.index(None, i + 1)
+                new_at.append(i)
+            wanted.update([pieces[i] for i in new_at])
+            cut.append((pieces, found, new_at))
         # a piece of letters and digits is its own only atom
         made = {p: atoms(p) for p in wanted if not p.isalnum()}
-        atoms_of = {p for p in wanted if p not in made}.union(*made.values())
-        new = dict(self._learnt(list(atoms_of.difference(self.known))))
-        self.known.update(new)
-        joined = {p: b"".join(map(get, x)) for p, x in made.items() if len(x) > 1}
-        self.known.update(joined)
+        new = list({a for x in made.values() for a in x}.union(wanted.difference(made)).difference(self.known))
+        self._learn(new)
+        parted = [p for p, x in made.items() if len(x) > 1]
+        self.known.update(zip(parted, [b"".join(map(get, made[p])) for p in parted], strict=True))
         odd = iter(self._ids(whole))
-        out = [next(odd).tobytes() if c is None else b"".join(map(get, c[0]) if None in c[1] else c[1]) for c in cut]
-        for part in (new, joined):
+        out = []
+        for c in cut:
+            if c is None:
+                out.append(next(odd).tobytes())
+                continue
+            pieces, found, new_at = c
+            for i in new_at:
+                found[i] = get(pieces[i])
+            out.append(b"".join(found))
+        new += parted
+        if new and max(map(len, new)) > LONGEST_PIECE:
             # long pieces, such as sentences in scripts without spaces, hardly come again
-            for p in [p for p in part if len(p) > LONGEST_PIECE]:
-                del self.known[p], part[p]
-            self.held += len(part) * ENTRY + sum(map(len, part)) + sum(map(len, part.values()))
+            for p in [p for p in new if len(p) > LONGEST_PIECE]:
+                del self.known[p]
+            new = [p for p in new if len(p) <= LONGEST_PIECE]
+        self.held += len(new) * ENTRY + sum(map(len, new)) + sum(map(len, map(get, new)))
         return out
 
 
