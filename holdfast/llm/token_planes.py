@@ -180,23 +180,20 @@ def split_planes(ids: np.ndarray, kind: str) -> list[bytes]:
     if kind == "byte":
         return [octets[:, i].tobytes() for i in range(4)]
     out = []
-    for column in octets.T:
-        if column.any():
-            bits = np.unpackbits(column, bitorder="little").reshape(-1, 8)
-            out += [p.tobytes() for p in np.packbits(bits.T, axis=1, bitorder="little")]
-        else:
-            out += [b""] * 8
+    for i in range(4):
+        column = np.ascontiguousarray(octets[:, i])
+        out += [np.packbits(column & np.uint8(1 << k), bitorder="little").tobytes() for k in range(8)] if column.any() else [b""] * 8
     return out
 
 
 def join_planes(planes: dict[int, bytes], n: int, kind: str) -> np.ndarray:
-    octets = np.zeros((n, 4), np.uint8)
+    octets = np.zeros((4, n), np.uint8)
     for i, p in planes.items():
         if kind == "byte":
-            octets[:, i] = np.frombuffer(p, np.uint8)
+            octets[i] = np.frombuffer(p, np.uint8)
         else:
-            octets[:, i // 8] |= np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little") << np.uint8(i % 8)
-    return octets.reshape(-1).view("<u4")
+            octets[i // 8] |= np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little") << np.uint8(i % 8)
+    return np.ascontiguousarray(octets.T).reshape(-1).view("<u4")
 
 
 class PlaneWriter:
@@ -269,16 +266,17 @@ class PlaneReader:
 
     def texts(self):
         """(document id, place of its first id in the file, its ids as bytes), in order."""
-        blocks, held, place = self.chunks(), b"", 0
+        blocks, held, at, place = self.chunks(), b"", 0, 0
         for i in range(self.n_documents):
             doc_id, known, n = struct.unpack_from("<qBQ", self.documents, 17 * i)
-            parts, have = [held], len(held)
-            while have < 4 * n:
-                parts.append(next(blocks).tobytes())
-                have += len(parts[-1])
-            held = b"".join(parts) if len(parts) > 1 else held
-            yield doc_id if known else None, place, held[: 4 * n]
-            held, place = held[4 * n :], place + n
+            if len(held) - at < 4 * n:
+                parts, have = [held[at:]], len(held) - at
+                while have < 4 * n:
+                    parts.append(next(blocks).tobytes())
+                    have += len(parts[-1])
+                held, at = b"".join(parts), 0
+            yield doc_id if known else None, place, held[at : at + 4 * n]
+            at, place = at + 4 * n, place + n
 
 
 def _write(folder: str, tokenizer: str, kind: str, end_id: int):
