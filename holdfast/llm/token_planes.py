@@ -24,6 +24,8 @@ import re
 import struct
 import uuid
 import zlib
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,8 @@ TEXTS = 32
 #: White space other than the space and the line feed, and the separator of first pieces: texts that have any are cut only after a closer look.
 RARE = [chr(i) for i in (0, *range(9, 0x3001)) if i not in (10, 32) and (chr(i).isspace() or not i)]
 
+RARE_ASCII = [c for c in RARE if c.isascii()]
+
 
 #: A word with a tail of punctuation: the pre-tokenizer parts them.
 TAILED = re.compile(r"(\0?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,:;!?#$%&*|]+)")
@@ -99,9 +103,9 @@ class Encoder:
     @staticmethod
     def _plain(text: str) -> bool:
         """Whether no white space stands beside a space or at the ends."""
-        if "  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace():
+        if "  " in text or text[0].isspace() or text[-1].isspace() or ("\n" in text and (" \n" in text or "\n " in text)):
             return False
-        return not any(c in text and (not ord(c) or f" {c}" in text or f"{c} " in text) for c in RARE)
+        return not any(c in text and (not ord(c) or f" {c}" in text or f"{c} " in text) for c in (RARE_ASCII if text.isascii() else RARE))
 
     def _learn(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), JOINED):
@@ -132,10 +136,8 @@ class Encoder:
             pieces = t.split(" ")
             pieces[0] = "\0" + pieces[0]
             found = list(map(get, pieces))
-            new_at, i = [], -1
-            for _ in range(found.count(None)):
-                i = found.index(None, i + 1)
-                new_at.append(i)
+            # no piece has no ids, so what is not known is what is false
+            new_at = list(compress(range(len(found)), map(not_, found)))
             wanted.update([pieces[i] for i in new_at])
             cut.append((pieces, found, new_at))
         # a piece of letters and digits is its own only atom
