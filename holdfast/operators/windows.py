@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.functions.text import let
+
 HEAT_WORDS, HEAT_LEAST, HEAT_WINDOWS, HEAT_FROM, HEAT_FULL, HEAT_GAP = 3, 6, 900, 0.8, 3.0, 2
 
 
@@ -44,23 +46,36 @@ def merge_spans(spans: DataFrame, by: list[str], value: str, gap: int = HEAT_GAP
     return rows.groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first(value).alias(value)).drop("__island")
 
 
+def words_at(chars: Column) -> Column:
+    """Array of (a, b): where the words between white space start and end in a text's characters."""
+    # an empty text is split into one empty character
+    blank = lambda c: c.isin("", *" \t\n\x0b\f\r")
+    edge = lambda i: F.coalesce(blank(F.get(chars, i)), F.lit(True))
+    places = lambda beside: F.filter(F.transform(chars, lambda c, i: F.when(~blank(c) & edge(i + beside), i)), lambda i: i.isNotNull())
+    return F.zip_with(places(-1), places(1), lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
+
+
 def word_heat(docs: DataFrame, id_col: str, text_col: str, score) -> DataFrame:
     """id, start, stop, value: how far stretches of a text stand out in likeness to a query.
 
     score: a column function from the text of a window to its likeness. Windows of three words, at most about HEAT_WINDOWS a
     text, are scored; z-scores within the text become values from 0 to 1; a word has the largest value of its windows.
     """
-    words = F.regexp_extract_all(F.col("__text"), F.lit(r"\S+"), F.lit(0))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).withColumn("w", words).withColumn("gaps", F.split("__text", r"\S+", -1)).where(F.size("w") >= HEAT_LEAST)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-    step = lambda s, x: F.struct((s["at"] + x["g"] + x["n"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["g"]).alias("a"), (s["at"] + x["g"] + x["n"]).alias("b")))).alias("out"))
-    sizes = F.zip_with(F.slice("gaps", 1, F.size("w")), F.col("w"), lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("n")))
-    rows = rows.withColumn("at", F.aggregate(sizes, start, step, lambda s: s["out"]))
-    stride = F.greatest(F.lit(1), F.floor((F.size("w") - HEAT_WORDS) / HEAT_WINDOWS) + 1)
-    starts = F.filter(F.sequence(F.lit(0), F.size("w") - HEAT_WORDS), lambda i: i % stride == 0)
-    # a window takes its own words along, not the text
-    window = lambda i: F.struct(i.alias("i"), F.slice("at", i + 1, F.lit(HEAT_WORDS)).alias("places"), F.substring(F.col("__text"), F.get("at", i)["a"] + 1, F.get("at", i + HEAT_WORDS - 1)["b"] - F.get("at", i)["a"]).alias("w"))
-    windows = rows.select("id", F.explode(F.transform(starts, window)).alias("x")).select("id", "x.i", "x.places", score(F.col("x.w")).alias("s"))
+    chars = F.split(F.coalesce(F.col("__text"), F.lit("")), "")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).select("id", let(chars, lambda c: F.struct(c.alias("chars"), words_at(c).alias("at"))).alias("t"))
+
+    def windows_of(t: Column) -> Column:
+        stride = F.greatest(F.lit(1), F.floor((F.size(t["at"]) - HEAT_WORDS) / HEAT_WINDOWS) + 1).cast("int")
+        starts = F.sequence(F.lit(0), F.size(t["at"]) - HEAT_WORDS, stride)
+        return F.transform(starts, lambda i: window(t, i))
+
+    def window(t: Column, i: Column) -> Column:
+        # a window takes its own words along, not the text
+        first, last = F.get(t["at"], i)["a"], F.get(t["at"], i + HEAT_WORDS - 1)["b"]
+        return F.struct(i.alias("i"), F.slice(t["at"], i + 1, F.lit(HEAT_WORDS)).alias("places"), F.array_join(F.slice(t["chars"], first + 1, last - first), "").alias("w"))
+
+    enough = F.when(F.size("t.at") >= HEAT_LEAST, let(F.col("t"), windows_of))
+    windows = rows.select("id", F.explode(enough).alias("x")).select("id", "x.i", "x.places", score(F.col("x.w")).alias("s"))
     own = Window.partitionBy("id")
     z = (F.col("s") - F.avg("s").over(own)) / F.stddev_pop("s").over(own)
     windows = windows.withColumn("sd", F.stddev_pop("s").over(own)).withColumn("z", z).where("sd >= 1e-6")

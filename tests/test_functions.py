@@ -120,6 +120,10 @@ def test_trigrams(spark):
     assert value(spark, text.trigrams(F.lit("ab"))) == ["ab"] and value(spark, text.trigrams(F.lit("abab"))) == ["aba", "bab"]
     assert value(spark, text.trigram_overlap(F.lit("abcd"), F.lit("xbcdx"))) == 0.5
     assert value(spark, text.trigram_overlap(F.lit(""), F.lit("x"))) == 0
+    for q in ("abcd", "ab", "", "aaaa"):
+        for t in ("xbcdx", "ab", "", "aaa", None):
+            t = F.lit(t).cast("string")
+            assert value(spark, text.trigram_overlap(q, t)) == value(spark, text.trigram_overlap(F.lit(q), t))
 
 
 def test_moments(spark):
@@ -223,3 +227,9 @@ def test_heat_stands_out(spark):
 def test_kinds(spark):
     f = lambda p: value(spark, files.kind_of(F.lit(p)))
     assert [f(p) for p in ("a.jpg", "b.MP4", "c.mp3", "d.md", "e.exe", "noext")] == ["image", "video", "audio", "text", None, None]
+
+
+@pytest.mark.parametrize("t", ["", " ", "a", " a  b\n", "ab\tcd ef", "\U0001f600x é \U0001f600", "x " * 3000])
+def test_places_of_words(spark, t):
+    got = value(spark, windows.words_at(F.split(F.lit(t), "")))
+    assert [(w.a, w.b) for w in got] == [m.span() for m in re.finditer(r"[^ \t\n\x0b\f\r]+", t)]
