@@ -364,7 +364,7 @@ NEEDLE = "there are other things between the lines"
 def trigram_overlap(spark, sf_dir):
     """One phrase against every whole text."""
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return rows.select("id", F.round(text.trigram_overlap(F.lit(NEEDLE), F.col("text")), 6).alias("overlap"))
+    return rows.select("id", F.round(text.trigram_overlap(NEEDLE, F.col("text")), 6).alias("overlap"))
 
 
 @query(f"SELECT doc_id AS id, contains({PLAIN.format(x='text')}, 'in the') AS found FROM documents")
@@ -451,7 +451,7 @@ SELECT id, min(start)::INTEGER AS start, max(stop)::INTEGER AS stop, any_value(v
 )
 def word_heat(spark, sf_dir):
     """Likeness by trigrams stands in for an embedder."""
-    likeness = lambda w: text.trigram_overlap(F.lit("the other thing"), F.lower(w))
+    likeness = lambda w: text.trigram_overlap("the other thing", F.lower(w))
     return windows.word_heat(read(spark, sf_dir, "documents"), "doc_id", "text", likeness)
 
 
@@ -639,7 +639,7 @@ f AS (SELECT user_id, list_reduce(list_prepend({'status': '', 'n': 0::BIGINT, 'r
 SELECT user_id AS item_id, s.status AS status, s.n AS n_events, s.r AS n_refused FROM f"""
 )
 def job_states_streamed(spark, sf_dir):
-    e = stream.event_stream(spark, f"{sf_dir}/events.parquet")
+    e = stream.event_stream(spark, f"{sf_dir}/events.parquet", files_per_batch=None)
     status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "running").when(F.col("event_type") == "error", "failed").otherwise("done")
     return stream.run_once(stream.states(e.select("event_id", "ts", F.col("user_id").alias("item_id"), status.alias("status"))), "update", ["item_id"])
 

@@ -17,12 +17,14 @@ from holdfast.sources.store import latest
 NEXT = {None: {"queued", "running", "done", "failed"}, "queued": {"running", "done", "failed"}, "running": {"done", "failed", "queued"}, "failed": {"queued"}, "done": {"queued"}}
 
 
-def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Events of a folder of Parquet files; times without a zone become timestamps, as watermarks need them."""
+def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
+    """Events of a folder of Parquet files; times without a zone become timestamps, as watermarks need them. None takes all files
+    that are there as one batch."""
     schema = spark.read.parquet(path).schema
     # a path of one file is a pattern that it alone matches
     one = re.sub(r"(\w)$", r"[\1]", path)
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(one)
+    reader = spark.readStream.schema(schema)
+    rows = (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(one)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -37,7 +39,8 @@ def recovered(jobs: DataFrame) -> DataFrame:
 
 
 def states(events: DataFrame) -> DataFrame:
-    """item_id, status, n_events, n_refused after each batch: a state machine that refuses steps that may not follow."""
+    """item_id, status, n_events, n_refused after each batch: a state machine that refuses steps that may not follow. Events of a
+    batch are taken in order of time, those of a later batch after them: a table whose files overlap in time has to be one batch."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, n, refused = state.get if state.exists else (None, 0, 0)
