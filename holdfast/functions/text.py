@@ -138,11 +138,11 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_overlap(query: Column | str, text: Column) -> Column:
-    """The share of the query's trigrams that the text has. A query given as a string is cut once, not for each row."""
+    """The share of the query's trigrams that the text has. For a query given as a string each of its trigrams is looked for in the text."""
     if isinstance(query, str):
         runs = list(dict.fromkeys(query[i : i + 3] for i in range(max(len(query) - 2, 1))))
-        share = let(text, lambda t: F.when(F.length(t) > 0, F.size(F.array_intersect(F.array(*map(F.lit, runs)), trigrams(t))) / len(runs)).otherwise(0.0))
-        return share if query else F.lit(0.0)
+        has = [F.contains(text, F.lit(r)) if len(r) == 3 else text == r for r in runs]
+        return F.coalesce(sum(h.cast("int") for h in has) / len(runs), F.lit(0.0)) if query else F.lit(0.0)
     q = trigrams(query)
     return F.when((F.length(query) == 0) | (F.length(text) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(q, trigrams(text))) / F.size(q))
 
