@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, quality_gam, secrets, sharding, token_planes
+from holdfast.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, quality_gam, quality_rules, secrets, sharding, token_planes
 from holdfast.llm.common import table
 
 
@@ -57,8 +57,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_gam, op3_token_planes, op4_decontaminate, op5_exact_dedup, op6_sharding, op7_langid, op8_mixing, op9_secrets, op10_minhash)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_gam, op3_token_planes, op4_decontaminate, op5_exact_dedup, op6_sharding, op7_langid, op8_mixing, op9_secrets, op10_minhash, op11_quality_rules)}
 
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -130,5 +134,37 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.doc_id = compone
 """.replace("{FOLD}", FOLD)
 
 
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+v AS (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) > 8),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + 7], ' ')) AS n FROM v),
+c AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM g WHERE n > 1) GROUP BY r),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    len(l)::BIGINT AS n_lines, len(list_filter(w, lambda x: list_contains({STOPS}, lower(x))))::BIGINT AS n_stop_words,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_same_words,
+    length(regexp_replace(t, '[^!?]', '', 'g'))::BIGINT AS n_marks, length(regexp_replace(t, '[^0-9]', '', 'g'))::BIGINT AS n_digits,
+    len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]')))::BIGINT AS n_bullet_lines,
+    len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipsis_lines
+  FROM d LEFT JOIN c USING (r)),
+b AS (SELECT *, array_to_string(list_sort(list_filter([{RULES}], lambda x: x IS NOT NULL)), ',') AS broken FROM m)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, broken = '' AS kept FROM b
+"""
+
+
+def _rule_sql(rule: quality_rules.Rule) -> str:
+    value, per = (rule.count, "1") if rule.per is None else (f"100 * {rule.count}", rule.per)
+    bounds = [f"{value} {sign} {bound} * {per}" for sign, bound in (("<", rule.least), (">", rule.most)) if bound is not None]
+    return f"CASE WHEN {per} > 0 AND ({' OR '.join(bounds)}) THEN '{rule.name}' END"
+
+
+def op11_sql() -> str:
+    """The table of thresholds goes into the SQL as it goes into the projection."""
+    return OP11.replace("{STOPS}", str(quality_rules.STOP_WORDS)).replace("{RULES}", ", ".join(map(_rule_sql, quality_rules.RULES)))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op6_sharding": OP6, "op8_mixing": OP8, "op10_minhash": OP10}
+    return {"op5_exact_dedup": OP5, "op6_sharding": OP6, "op8_mixing": OP8, "op10_minhash": OP10, "op11_quality_rules": op11_sql()}
