@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, quality_gam, quality_rules, secrets, sharding, token_planes
+from holdfast.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, quality_gam, quality_rules, secrets, sharding, target_resampling, token_planes
 from holdfast.llm.common import table
 
 
@@ -61,8 +61,12 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample_plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_gam, op3_token_planes, op4_decontaminate, op5_exact_dedup, op6_sharding, op7_langid, op8_mixing, op9_secrets, op10_minhash, op11_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_gam, op3_token_planes, op4_decontaminate, op5_exact_dedup, op6_sharding, op7_langid, op8_mixing, op9_secrets, op10_minhash, op11_quality_rules, op13_target_resampling)}
 
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -166,5 +170,33 @@ def op11_sql() -> str:
     return OP11.replace("{STOPS}", str(quality_rules.STOP_WORDS)).replace("{RULES}", ", ".join(map(_rule_sql, quality_rules.RULES)))
 
 
+OP13 = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+w AS (
+  SELECT side, r, doc_id, regexp_extract_all({FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT 's' AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark)),
+f AS (SELECT side, r, array_to_string(w[i:i + n - 1], ' ') AS f FROM (SELECT side, r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS n))),
+h AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda b: ('0x' || b)::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 10000 AS bucket FROM (SELECT DISTINCT f FROM f), crc_table),
+n AS (SELECT side, bucket, count(*) AS n FROM f JOIN h USING (f) GROUP BY ALL),
+sums AS (SELECT coalesce(sum(n) FILTER (side = 's'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t FROM n),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(max(n) FILTER (side = 't'), 0)::DOUBLE + 1) * (any_value(sums.s) + 10000)
+    / ((coalesce(max(n) FILTER (side = 's'), 0)::DOUBLE + 1) * (any_value(sums.t) + 10000))))::BIGINT AS g FROM n, sums GROUP BY bucket),
+d AS (
+  SELECT w.r, any_value(doc_id) AS doc_id, any_value(len(w)) AS words, count(f)::BIGINT AS n_features, coalesce(sum(g), 0)::BIGINT AS weight
+  FROM w LEFT JOIN f ON f.side = 's' AND f.r = w.r LEFT JOIN h USING (f) LEFT JOIN gain USING (bucket) WHERE w.side = 's' GROUP BY w.r),
+k AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features)::BIGINT AS place,
+    5 * count(*) FILTER (words >= 20) OVER () // 100 AS k FROM k)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= k THEN place END AS rank, words::BIGINT AS n_words FROM p
+""".replace("{FOLD}", FOLD)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op6_sharding": OP6, "op8_mixing": OP8, "op10_minhash": OP10, "op11_quality_rules": op11_sql()}
+    return {"op5_exact_dedup": OP5, "op6_sharding": OP6, "op8_mixing": OP8, "op10_minhash": OP10, "op11_quality_rules": op11_sql(), "op13_target_resampling": OP13}
