@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, quality_gam, quality_rules, secrets, sharding, target_resampling, token_planes
+from holdfast.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, prefix_trie, quality_gam, quality_rules, secrets, sharding, target_resampling, token_planes
 from holdfast.llm.common import table
 
 
@@ -61,12 +61,16 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampling.resample_plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_gam, op3_token_planes, op4_decontaminate, op5_exact_dedup, op6_sharding, op7_langid, op8_mixing, op9_secrets, op10_minhash, op11_quality_rules, op13_target_resampling)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_gam, op3_token_planes, op4_decontaminate, op5_exact_dedup, op6_sharding, op7_langid, op8_mixing, op9_secrets, op10_minhash, op11_quality_rules, op12_prefix_trie, op13_target_resampling)}
 
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -170,6 +174,38 @@ def op11_sql() -> str:
     return OP11.replace("{STOPS}", str(quality_rules.STOP_WORDS)).replace("{RULES}", ", ".join(map(_rule_sql, quality_rules.RULES)))
 
 
+OP12 = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (
+  SELECT c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(c::VARCHAR)), '..'), lambda b: ('0x' || b)::BIGINT)),
+    lambda x, b: xor(t[(xor(x, b) & 255) + 1], x >> 8))) % 4 AS h FROM (SELECT DISTINCT c FROM o), crc_table),
+r AS (
+  SELECT h.c, b.pos, b.role, b.text FROM h JOIN o b ON b.c = h.c - h.c % 20 AND b.pos < h.h
+  UNION ALL SELECT h.c, o.pos - h.h + least(h.h, (SELECT count(*) FROM o b WHERE b.c = h.c - h.c % 20)), o.role, o.text FROM h JOIN o ON o.c = h.c AND o.pos >= h.h),
+p AS (
+  SELECT c, pos + 1 AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    string_agg(sha256(length(role) || ':' || role || ':' || text), '' ORDER BY pos) OVER (PARTITION BY c ORDER BY pos) AS path FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM h),
+m AS (SELECT c, d, words, min(c) OVER (PARTITION BY d, path) AS rep, max(d) OVER (PARTITION BY c) AS len FROM p),
+n AS (
+  SELECT rep, d, count(*) AS n_convs, any_value(words) AS words, max(len) = d AS leaf,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len = d), '')) AS ends_sha256 FROM m GROUP BY rep, d),
+above AS (SELECT n.*, m.rep AS parent FROM n LEFT JOIN m ON m.c = n.rep AND m.d = n.d - 1),
+under AS (
+  SELECT m.rep, m.d, count(*) FILTER (x.leaf AND x.d >= m.d) AS n_leaves, sum((x.n_convs - 1) * x.words) FILTER (x.d >= m.d) AS saved
+  FROM m JOIN n x ON x.rep = m.c GROUP BY ALL),
+kids AS (SELECT parent AS rep, d - 1 AS d, count(*) AS n_children FROM above WHERE d > 0 GROUP BY ALL)
+SELECT rep AS conv_id, d::BIGINT AS depth, parent AS parent_conv_id, n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+  coalesce(saved, 0)::BIGINT AS saved_tokens, ends_sha256
+FROM above JOIN under USING (rep, d) LEFT JOIN kids USING (rep, d)
+"""
+
 OP13 = r"""
 WITH crc_table AS (
   SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
@@ -199,4 +235,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= k T
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op6_sharding": OP6, "op8_mixing": OP8, "op10_minhash": OP10, "op11_quality_rules": op11_sql(), "op13_target_resampling": OP13}
+    return {"op5_exact_dedup": OP5, "op6_sharding": OP6, "op8_mixing": OP8, "op10_minhash": OP10, "op11_quality_rules": op11_sql(), "op12_prefix_trie": OP12, "op13_target_resampling": OP13}
