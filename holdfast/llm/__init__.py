@@ -1,10 +1,5 @@
 """Operators for preparing training data; nothing outside this package imports it.
 
-The functions that run in Python workers are pickled by value, so that a cluster needs no copy of this package.
+Executors import the package, too: it is installed there, on their PYTHONPATH, or sent with the job (--py-files). What a Python worker
+learns stays in module variables and serves its next task.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,8 +4,8 @@ Words are runs of letters in lower case; digits and other numeric characters are
 its log frequency in every language; any other falls back to its character 4-grams, then 3-, 2- and 1-grams, and adds the
 mean of those that the model knows at the first length that has any. The language with the largest sum wins.
 
-Learning takes about `per_language` documents of each language (those whose hash falls below a language's rate; all of a
-smaller one) of the `languages` most frequent ones. Each language has a vocabulary of its own: its `vocabulary` most
+Learning takes about `per_language` documents of each language (those whose hash of id and text falls below a language's rate; all
+of a smaller one) of the `languages` most frequent ones; rows that repeat id and text are learnt from once. Each language has a vocabulary of its own: its `vocabulary` most
 frequent words and as many n-grams, down to those seen once; with many languages fewer, so that the tables have at most
 `cells` entries. A token that any language keeps has its counts in all of them. Scoring covers all whole texts. Defined results: `und` with
 score 0 for a null text, one without letters, and when nothing was learnt; ties go to the first language in order; null
@@ -154,12 +154,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     scope = Scope(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    rows = rows.withColumn("own", F.xxhash64("doc_id", "text", F.lit(SEED)))
+    # the share of a language comes from its different rows, so neither null ids nor copies decide how much is learnt
+    sizes = {r.lang: r.different for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("own").alias("different")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return Model([])
     own = min(vocabulary, max(1, cells // (2 * len(sizes) ** 2)))
-    rate = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))])
-    chosen = rows.where(F.col("lang").isin(*sizes)).where(unit_hash(F.col("doc_id"), seed=SEED) < F.element_at(rate, F.col("lang")))
+    rate = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / max(n, 1)))])
+    chosen = rows.where(F.col("lang").isin(*sizes)).where(unit_hash(F.col("doc_id"), F.col("own"), seed=SEED) < F.element_at(rate, F.col("lang")))
+    chosen = chosen.groupBy("lang", "own").agg(F.max("text").alias("text"))
     counted = scope.write(chosen.select("lang", "text").mapInArrow(_counts, "lang string, length int, token string, n long").groupBy("lang", "length", "token").agg(F.sum("n").alias("n")), "counts")
     # a language's tokens: those of a bounded sample
     of_language = Window.partitionBy("lang", F.col("length") == 0).orderBy(F.desc("n"), "length", "token")

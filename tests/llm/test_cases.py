@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,6 +352,42 @@ def test_small_languages_keep_their_words(spark, tmp_path):
     assert len(model.rows[0]) <= 4 and model.languages == ["en", "xx"]
 
 
+@pytest.mark.parametrize("doc_id", [None, 3])
+def test_rows_of_one_id_are_sampled_by_their_texts(spark, tmp_path, doc_id):
+    """More rows without an id, or of one id, than a language's share: learnt from all the same."""
+    texts = {"en": "the house is red and old", "de": "das haus ist rot und sehr alt", "fr": "la maison est rouge"}
+    rows = [(doc_id, f"{t} {'abcdefgh'[i % 8]}{'xyz'[i % 3]} {t}", lang, "a", 1) for lang, t in texts.items() for i in range(300)]
+    rows += [(doc_id, "el mismo texto otra vez", "es", "a", 1)] * 400
+    docs = plain(spark, tmp_path / "d", rows, 3)
+    model = langid.train(docs, per_language=12)
+    assert model.languages == ["de", "en", "es", "fr"]
+    scorer = langid.Scorer(model)
+    got = [scorer.predict([t])[0][0] for _, t, *_ in rows]
+    assert got == [r[2] for r in rows]
+
+
+def test_what_a_worker_learns_serves_its_next_task(spark, tmp_path):
+    """Tasks of one worker share the encoder and the lexicon."""
+    path = tokenizer_path()
+
+    def run(batches):
+        import os
+
+        for b in batches:
+            encoder, lexicon = token_planes.encoder_of(path), decontaminate.lexicon_of_worker()
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "encoder": [id(encoder)], "known": [len(encoder.known)], "lexicon": [len(lexicon)]})
+            encoder.encode(b.column(0).to_pylist())
+            lexicon.numbers(b.column(0).to_pylist())
+
+    docs = spark.range(12).selectExpr("concat('some words of row ', id) as text").repartition(1)
+    for _ in range(3):
+        seen = docs.mapInArrow(run, "pid long, encoder long, known long, lexicon long").collect()
+    again = docs.repartition(12).mapInArrow(run, "pid long, encoder long, known long, lexicon long").collect()
+    workers = {r.pid: r.encoder for r in seen + again}
+    assert all(workers[r.pid] == r.encoder for r in seen + again)
+    assert len(again) > len(workers) and any(r.known and r.lexicon for r in again)
+
+
 def test_language_scores_against_plain_loops(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.train(docs)
