@@ -1,25 +1,44 @@
-"""Retrieval metrics and ensembles."""
+"""Retrieval metrics and ensembles, without a table of all pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions import scoring, vector
+from holdfast.operators import batches
+
+
+def ranks(vectors: DataFrame, queries: DataFrame, group: str, key: str = "vec_id", half: bool = False) -> DataFrame:
+    """query_id, rank of the first row of the query's own group. queries: query_id, q, own. vectors: key, embedding, group."""
+    return _united(queries, [batches.first_ranks(vectors, b, group, key, half) for b in batches.blocks(queries, own="own")])
+
 
+def ensemble_ranks(vectors: DataFrame, queries: DataFrame, weights: dict[str, float], group: str, key: str = "vec_id") -> DataFrame:
+    """The same by the weighted sum of the models' z-scores. A model is a column of vectors and of queries.
 
-def similarity_matrix(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id, vec_id, similarity of every pair; queries: a stated set of bounded size (query_id, q)."""
-    return F.broadcast(queries).crossJoin(vectors).select("query_id", "vec_id", vector.dot(F.col("q"), F.col("embedding")).alias("similarity"))
+    A z-score is the similarity less a number of the query, over another: so the sum ranks like one product of the models' vectors
+    end to end, with each query's part scaled by weight over deviation.
+    """
+    whole = vectors.withColumn("embedding", F.concat(*weights))
+    out = []
+    for b in batches.blocks(queries.withColumn("q", F.concat(*weights)), own="own"):
+        at, scaled = 0, b.q.copy()
+        for model, weight in weights.items():
+            dim = queries.select(F.size(model)).first()[0]
+            part = batches.Block(b.ids, b.q[:, at : at + dim], b.own)
+            _, deviation = batches.moments(vectors.select(key, F.col(model).alias("embedding")), part, key)
+            scaled[:, at : at + dim] *= (weight / np.maximum(deviation, scoring.LEAST_SPREAD))[:, None]
+            at += dim
+        out.append(batches.first_ranks(whole, batches.Block(b.ids, scaled, b.own), group, key))
+    return _united(queries, out)
 
 
-def ranks(similarities: DataFrame, relevant: DataFrame, n: int | None = None) -> DataFrame:
-    """query_id, rank of the first relevant row in descending similarity (ties: vec_id); without any n + 1."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    placed = similarities.withColumn("rank", F.row_number().over(order)).join(relevant, ["query_id", "vec_id"])
-    found = placed.groupBy("query_id").agg(F.min("rank").alias("rank"))
-    last = F.lit(n + 1) if n is not None else F.lit(None)
-    return similarities.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("rank", last).alias("rank"))
+def _united(queries: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], "query_id long, rank long")
 
 
 def metrics(ranked: DataFrame) -> DataFrame:
@@ -28,19 +47,6 @@ def metrics(ranked: DataFrame) -> DataFrame:
     return ranked.agg(within(1).alias("recall_1"), within(3).alias("recall_3"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.count(F.lit(1)).alias("n_queries"))
 
 
-def z_scored(similarities: DataFrame, by: tuple = ("model", "query_id")) -> DataFrame:
-    own = Window.partitionBy(*by)
-    return similarities.withColumn("z", scoring.z_score(F.col("similarity"), F.avg("similarity").over(own), F.stddev_pop("similarity").over(own)))
-
-
-def ensemble(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """query_id, vec_id, similarity: the weighted sum of the models' z-scores."""
-    w: Column = F.lit(None).cast("double")
-    for model, x in weights.items():
-        w = F.when(F.col("model") == model, x).otherwise(w)
-    return scored.where(F.col("model").isin(*weights)).groupBy("query_id", "vec_id").agg(F.sum(F.col("z") * w).alias("similarity"))
-
-
 def mean_vector(rows: DataFrame, by: str, v: str = "embedding") -> DataFrame:
     """The normalised mean of vectors, element by element."""
     parts = rows.select(by, F.posexplode(v).alias("i", "x")).groupBy(by, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))

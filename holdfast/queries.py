@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import scoring, text, vector
 from holdfast.functions.embed import Registry
 from holdfast.functions.highlight import span_of
-from holdfast.operators import evaluate, windows
+from holdfast.operators import batches, evaluate, windows
 from holdfast.operators import library as ops
 from holdfast.operators import search as S
 from holdfast.plans import ingest, search
@@ -505,13 +505,9 @@ EVALUATION = """q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS q
 
 
 def _evaluation(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("q"))
-    other = F.col("query_id") != F.col("vec_id")
-    plain = evaluate.similarity_matrix(q.select("query_id", "q"), e.select("vec_id", "embedding")).where(other).withColumn("model", F.lit("plain"))
-    half = evaluate.similarity_matrix(q.select("query_id", F.slice("q", 1, 32).alias("q")), e.select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))).where(other).withColumn("model", F.lit("half"))
-    relevant = q.select("query_id", "ql").join(e.select("vec_id", "label"), (F.col("ql") == F.col("label")) & other).select("query_id", "vec_id")
-    return plain, half, relevant
+    """Vectors with two models (the whole and its first half), and as queries every row whose id is divisible by 100."""
+    e = read(spark, sf_dir, "embeddings").withColumn("half", F.slice("embedding", 1, 32))
+    return e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("embedding").alias("q"), "embedding", "half")
 
 
 METRICS = "round(avg((rank <= 1)::INTEGER), 6) AS recall_1, round(avg((rank <= 3)::INTEGER), 6) AS recall_3, round(avg(1.0 / rank), 6) AS mrr, count(*) AS n_queries"
@@ -523,8 +519,27 @@ def _metrics(rows):
 
 @query("WITH " + EVALUATION + f", r AS (SELECT query_id, min(rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM m WHERE model = 'plain') WHERE ql = label GROUP BY 1) SELECT {METRICS} FROM r")
 def recall_mrr(spark, sf_dir):
-    plain, _, relevant = _evaluation(spark, sf_dir)
-    return _metrics(evaluate.metrics(evaluate.ranks(plain, relevant)))
+    vectors, queries = _evaluation(spark, sf_dir)
+    return _metrics(evaluate.metrics(evaluate.ranks(vectors, queries, "label").where("rank is not null")))
+
+
+@query()
+def precision_fp16(spark, sf_dir):
+    """The same metrics with vectors in single and in half precision."""
+    vectors, queries = _evaluation(spark, sf_dir)
+    rows = [_metrics(evaluate.metrics(evaluate.ranks(vectors, queries, "label", half=half))).select(F.lit(name).alias("precision"), "*") for name, half in (("fp32", False), ("fp16", True))]
+    return rows[0].unionByName(rows[1])
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+d AS (SELECT query_id, vec_id, sqrt(list_sum(list_transform(list_zip(q, embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM q, embeddings)
+SELECT query_id, vec_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INTEGER AS place FROM d QUALIFY place <= 50"""
+)
+def knn_many(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    found = batches.nearest_many(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 50)
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 @query(
@@ -533,9 +548,9 @@ e AS (SELECT query_id, vec_id, any_value(ql) AS ql, any_value(label) AS label, s
 r AS (SELECT query_id, min(rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM e) WHERE ql = label GROUP BY 1) SELECT {METRICS} FROM r"""
 )
 def zscore_ensemble(spark, sf_dir):
-    plain, half, relevant = _evaluation(spark, sf_dir)
-    both = evaluate.ensemble(evaluate.z_scored(plain.unionByName(half)), {"plain": 0.6, "half": 0.4})
-    return _metrics(evaluate.metrics(evaluate.ranks(both, relevant)))
+    vectors, queries = _evaluation(spark, sf_dir)
+    ranked = evaluate.ensemble_ranks(vectors, queries, {"embedding": 0.6, "half": 0.4}, "label")
+    return _metrics(evaluate.metrics(ranked.where("rank is not null")))
 
 
 @query("WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))) AS n FROM embeddings) SELECT vec_id, (i - 1)::INTEGER AS i, round(embedding[i]::DOUBLE / n, 4) AS x FROM n, range(1, 65) r(i)")
