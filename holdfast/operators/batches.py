@@ -92,12 +92,12 @@ class Best:
 
 
 def merged(rows: DataFrame, k: int) -> DataFrame:
-    """query_id, id, distance, place of each query's k best. Lanes of tasks are merged first, so a query's rows of all tasks never meet at once."""
+    """rows (query_id, id, distance and more) with place: each query's k best. Lanes of tasks are merged first, so a query's rows of all tasks never meet at once."""
     order = [F.col("distance"), F.col("id")]
     rows = rows.withColumn("lane", F.spark_partition_id() % LANES)
     for by in (["query_id", "lane"], ["query_id"]):
         rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)
-    return rows.select("query_id", "id", "distance", "place")
+    return rows.drop("lane")
 
 
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", others: bool = False, block: int = QUERY_BLOCK) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import scoring, text, vector
 from holdfast.functions.embed import Registry
 from holdfast.functions.highlight import span_of
-from holdfast.operators import batches, evaluate, windows
+from holdfast.operators import batches, evaluate, vector_index, windows
 from holdfast.operators import library as ops
 from holdfast.operators import search as S
 from holdfast.plans import ingest, search
@@ -553,6 +553,25 @@ def zscore_ensemble(spark, sf_dir):
     return _metrics(evaluate.metrics(ranked.where("rank is not null")))
 
 
+def _index_recall(spark, sf_dir, ids=None):
+    """By every vector whose id is divisible by 100: how many of its 50 nearest the index finds."""
+    e = from_tables(spark, sf_dir).embeddings.where("space = 'text'")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = vector_index.search(vector_index.built(e), queries, 50, ids)
+    return vector_index.recall_of(found, batches.nearest_many(S.restricted(e, ids), queries, 50))
+
+
+@query()
+def knn_index_recall(spark, sf_dir):
+    return _index_recall(spark, sf_dir)
+
+
+@query()
+def knn_index_recall_filtered(spark, sf_dir):
+    lib = from_tables(spark, sf_dir)
+    return _index_recall(spark, sf_dir, S.allowed(lib.items, lib.tags, lib.item_tags, S.Filters("", ["text", "audio"])))
+
+
 @query("WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))) AS n FROM embeddings) SELECT vec_id, (i - 1)::INTEGER AS i, round(embedding[i]::DOUBLE / n, 4) AS x FROM n, range(1, 65) r(i)")
 def normalize_vectors(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vector.normalize(F.col("embedding"))).alias("i", "x")).select("vec_id", "i", F.round("x", 4).alias("x"))

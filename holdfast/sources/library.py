@@ -32,6 +32,8 @@ class Library:
     frames: DataFrame
     segments: DataFrame
     extra: dict[str, DataFrame] = field(default_factory=dict)
+    #: Vector indexes by space (operators.vector_index), if any were built.
+    indexes: dict = field(default_factory=dict)
 
     @property
     def chunks(self) -> DataFrame:
