@@ -355,18 +355,33 @@ def restricted_chunks(chunks: DataFrame, ids: DataFrame | None) -> DataFrame:
     return chunks if ids is None else chunks.join(ids.withColumnRenamed("id", "item_id"), "item_id", "left_semi")
 
 
-def exact_evidence(items: DataFrame, chunks: DataFrame, phrase: str, ids: DataFrame | None = None, carry: list[str | Column] = ()) -> DataFrame:
+def searched() -> Column:
+    """The text of an item in which exact phrases are sought."""
+    return F.coalesce(F.nullif("transcript", F.lit("")), F.nullif("text_content", F.lit("")), F.lit(""))
+
+
+#: Found items up to which their ids are broadcast (some 8 MB).
+LOOKED_UP = 1_000_000
+
+
+def exact_evidence(items: DataFrame, chunks: DataFrame, phrase: str, ids: DataFrame | None = None, carry: list[str | Column] = (), few: list[int] | None = None) -> DataFrame:
     """item_id, n_mentions, chunk_ix, chunk_text, seam: items whose whole text has the phrase, and the first chunk that has it, else the first chunk.
 
-    carry: columns of the items that come along.
+    carry: columns of the items that come along. The found items are written, and only their chunks are compared and shuffled.
+    few: ids that are known to be all that can be found; then nothing is written, and items and chunks are read by these ids.
     """
     rows = items if ids is None else items.join(ids, "id", "left_semi")
-    body = F.coalesce(F.nullif("transcript", F.lit("")), F.nullif("text_content", F.lit("")), F.lit(""))
-    counted = rows.select(F.col("id").alias("item_id"), mentions(body, phrase).alias("n_mentions"), *carry).where("n_mentions > 0")
+    counted = rows.select(F.col("id").alias("item_id"), mentions(searched(), phrase).alias("n_mentions"), *carry).where("n_mentions > 0")
+    if few is not None:
+        counted, own = counted.where(among("item_id", few)), chunks.where(among("item_id", few))
+    else:
+        counted = materialise(counted, "counted")
+        found = counted.select("item_id")
+        own = chunks.join(F.broadcast(found) if found.count() <= LOOKED_UP else found, "item_id", "left_semi")
     needle = " ".join(phrase.casefold().split())
     seam = ~F.contains(plain(F.col("chunk_text")), F.lit(needle))
     # the first chunk of each item by an aggregation that combines map-side
-    first = chunks.groupBy("item_id").agg(F.min_by(F.struct("chunk_ix", "chunk_text", seam.alias("seam")), F.struct(seam, "chunk_ix")).alias("c"))
+    first = own.groupBy("item_id").agg(F.min_by(F.struct("chunk_ix", "chunk_text", seam.alias("seam")), F.struct(seam, "chunk_ix")).alias("c"))
     return counted.join(first, "item_id").select("*", "c.chunk_ix", "c.chunk_text", "c.seam").drop("c")
 
 

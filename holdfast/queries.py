@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import scoring, text, vector
 from holdfast.functions.embed import Registry
 from holdfast.functions.highlight import span_of
-from holdfast.operators import batches, evaluate, vector_index, windows
+from holdfast.operators import batches, evaluate, positions, vector_index, windows
 from holdfast.operators import library as ops
 from holdfast.operators import search as S
 from holdfast.plans import ingest, search
@@ -177,6 +177,24 @@ def exact_search(spark, sf_dir):
     return S.exact_evidence(lib.items, lib.chunks, PHRASE).select("item_id", "n_mentions", "chunk_ix", "seam")
 
 
+@query(SQL["exact_search"])
+def exact_from_positions(spark, sf_dir):
+    lib = search.with_positions(search.with_chunks(from_tables(spark, sf_dir)))
+    found = positions.items_with(lib.extra["positions"], lib.extra["words"], PHRASE)
+    known = {"few": found} if isinstance(found, list) else {"ids": found}
+    return S.exact_evidence(lib.items, lib.chunks, PHRASE, **known).select("item_id", "n_mentions", "chunk_ix", "seam")
+
+
+@query(
+    sql("items") + f""", w AS (SELECT id AS item_id, string_split({PLAIN.format(x="coalesce(nullif(transcript, ''), nullif(text_content, ''), '')")}, ' ') AS w FROM items)
+SELECT item_id, (i - 1)::INTEGER AS start FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM w) WHERE suffix(w[i], '{PHRASE.split()[0]}') AND prefix(w[i + 1], '{PHRASE.split()[1]}')"""
+)
+def phrase_places(spark, sf_dir):
+    """Every place where the phrase begins, by words from 0."""
+    lib = search.with_positions(from_tables(spark, sf_dir))
+    return positions.starts(lib.extra["positions"], lib.extra["words"], PHRASE)
+
+
 @query()
 def hybrid_search(spark, sf_dir):
     """The flagship: filters, three spaces, ensemble, calibration, BM25, fuzzy phrases, fusion, enrichment."""
