@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from holdfast.functions import scoring, text, vector
 from holdfast.functions.embed import Registry
 from holdfast.functions.highlight import span_of
-from holdfast.operators import batches, evaluate, positions, vector_index, windows
+from holdfast.operators import batches, bm25_blocks, evaluate, positions, vector_index, windows
 from holdfast.operators import library as ops
 from holdfast.operators import search as S
 from holdfast.plans import ingest, search
 from holdfast.sources import files, library, store
 from holdfast.sources.library import from_tables, read, sql
+from holdfast.sources.scratch import materialise
 from holdfast.streaming import jobs as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +160,14 @@ def bm25_from_postings(spark, sf_dir):
     return S.bm25_indexed(S.postings(chunks), S.chunk_stats(chunks), WORDS).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(SQL["bm25_topk"])
+def bm25_early_end(spark, sf_dir):
+    chunks = search.with_chunks(from_tables(spark, sf_dir)).chunks
+    stats = materialise(S.chunk_stats(chunks), "chunk_stats")
+    index = materialise(bm25_blocks.blocked(S.postings(chunks), stats), "blocks")
+    return bm25_blocks.best(index, stats, WORDS).rows.withColumn("score", F.round("score", 6))
+
+
 @query(sql("chunks") + f", t AS (SELECT chunk_id, {TOKENS} AS t FROM chunks) SELECT token, chunk_id, length::INTEGER AS length, count(*) AS tf FROM (SELECT chunk_id, len(t) AS length, unnest(t) AS token FROM t) GROUP BY ALL")
 def postings(spark, sf_dir):
     return S.postings(from_tables(spark, sf_dir).chunks)
