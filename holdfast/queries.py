@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import scoring, text, vector
 from holdfast.functions.embed import Registry
 from holdfast.functions.highlight import span_of
-from holdfast.operators import batches, bm25_blocks, evaluate, positions, vector_index, windows
+from holdfast.operators import batches, bm25_blocks, evaluate, fuzzy_index, positions, vector_index, windows
 from holdfast.operators import library as ops
 from holdfast.operators import search as S
 from holdfast.plans import ingest, search
@@ -237,6 +237,15 @@ def fuzzy_phrase(spark, sf_dir):
     return rows.select("item_id", "chunk_ix", F.round("phrase_ratio", 4).alias("ratio"), F.round("score", 4).alias("score"))
 
 
+@query()
+def fuzzy_phrase_everywhere(spark, sf_dir):
+    """The passage against all chunks."""
+    lib = search.with_grams(from_tables(spark, sf_dir))
+    passage = " ".join(read(spark, sf_dir, "documents").orderBy("doc_id").first()["text"].split()[20:29])
+    rows = fuzzy_index.best_chunks(lib.chunks, lib.extra["grams"], passage)
+    return rows.select("item_id", "chunk_ix", F.round("phrase_ratio", 4).alias("ratio"), F.round("score", 4).alias("score"))
+
+
 # --- filters, joins, aggregates
 
 
