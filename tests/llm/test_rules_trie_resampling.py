@@ -130,8 +130,7 @@ def test_trie_of_odd_conversations(spark, tmp_path):
 
 
 @pytest.mark.parametrize("n", [1, 3, 37])
-def test_trie_of_long_and_equal_conversations(spark, tmp_path, n, monkeypatch):
-    monkeypatch.setattr(prefix_trie, "PIECE", 3)
+def test_trie_of_long_and_equal_conversations(spark, tmp_path, n):
     same = [(c, t, "user", f"turn {t % 3}") for c in (20, 21, 25, 29, 41, 49) for t in range(n)]
     check_trie(spark, tmp_path, same + [(30, t, "user", "other words") for t in range(n + 1)], rebuild=False)
 
@@ -143,6 +142,19 @@ def test_hot_conversations_and_turns(spark, tmp_path):
     check_trie(spark, tmp_path, rows)
 
 
+@pytest.mark.parametrize("rows_a_batch", [1, 2, 50])
+def test_ends_are_hashed_piece_by_piece(monkeypatch, rows_a_batch):
+    """Nodes and pieces end anywhere in a batch."""
+    monkeypatch.setattr(prefix_trie, "PIECE", 3)
+    ends = {(0, 0): [5], (0, 2): list(range(7)), (1, 1): [1, 10, 100], (1, 2): [-3, 2, 4, 8]}
+    rows = [(*node, conv) for node, convs in ends.items() for conv in convs]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], names=["rep", "depth", "conv"])
+    pieces = list(prefix_trie._pieces(batch(rows[i : i + rows_a_batch]) for i in range(0, len(rows), rows_a_batch)))
+    assert len(pieces) == 1 + 3 + 1 + 2
+    found = {(r["rep"], r["depth"]): r["ends_sha256"] for b in prefix_trie._hashed(iter(pieces)) for r in b.to_pylist()}
+    assert found == {node: hashlib.sha256(",".join(map(str, convs)).encode()).hexdigest() for node, convs in ends.items()}
+
+
 def test_empty_trie(spark, tmp_path):
     assert prefix_trie.rebuilt_trie(conversations(spark, tmp_path, [])).collect() == []
     assert prefix_trie.conversation_trie(conversations(spark, tmp_path, [(None, 1, "user", "x")])).collect() == []
