@@ -4,12 +4,15 @@ Texts become tokens in three forms. `typed`: numbers, units after numbers, and c
 placeholders that keep their values as slots; all else is in lower case. `named`: so are capitalised words at the start of
 sentences, as names may stand there too. `plain`: all tokens in lower case. Windows of WINDOW
 tokens of the benchmark are hash-joined to those of the documents. Hits of an item on one diagonal (place in the document less
-place in the item) form a line; a typed line counts if its slots are consistent: each value of the item stands
-for one value of the document and the other way round. Lines on diagonals up to SHIFT apart that lie beside each other in
-the document, add windows to each other and have slots that are consistent together form an alignment, so tokens put in or left
-out do not break it, but pieces scattered over a document are not added up. A document is contaminated by an item of which
-one alignment covers COVERAGE of the windows of a form. The verdict comes from the slots of the alignment that covers most:
-`reparameterised` if values differ, else `verbatim`.
+place in the item) form a line. Lines on diagonals up to SHIFT apart that lie beside each other in
+the document and add windows to each other form an alignment, so tokens put in or left
+out do not break it, but pieces scattered over a document are not added up.
+
+Slots are checked in each alignment. A quantity of the item is a number with the token after it, a unit with the number before it, or a name:
+`60 km` and `60 minutes` may become 40 and 30, while two places of `40 balls` stand for one value. With `shared_values` 5 apples and 7 pears may
+both become 6; without it a value that would stand for two of the item's counts for neither. The value of a quantity is the one that most of the alignment's windows show (the smallest of equal ones); windows that show another one are cut
+out, the rest stays. A document is contaminated by an item of which the remaining windows of one alignment cover COVERAGE of the windows of a
+form. The verdict comes from the values of the alignment that covers most: `reparameterised` if any differs from the item's, else `verbatim`.
 
 A filter of the benchmark's windows (two bits each, at most FILTER_BYTES in all, however large the benchmark) goes to the tasks, so
 that nearly all other windows are not emitted; the join decides.
@@ -24,6 +27,7 @@ text: equal texts stay or go together.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -97,13 +101,24 @@ def lexicon_of_worker() -> Lexicon:
 @dataclass
 class Forms:
     """raw: tokens as they stand; real: places of those that are no ends of sentences. By form the hashes of real tokens and where placeholders
-    are. ends: the real places of ends of texts."""
+    are. ends: the real places of ends of texts. beside: where a token's partner is, the next one for numbers, the one before for units."""
 
     raw: list[str]
     real: np.ndarray
     hashes: list[np.ndarray]
     slots: list[np.ndarray]
     ends: np.ndarray
+    beside: np.ndarray
+
+    def quantities(self, form: int, place: int, k: int) -> list[str]:
+        """What a window's slots stand for: the value, a space, and its partner if there is one."""
+        out = []
+        for i in range(place, place + k):
+            if self.slots[form][i]:
+                partner = i + int(self.beside[i])
+                named = self.raw[self.real[partner]].lower() if partner != i and partner < len(self.real) else ""
+                out.append(f"{self.raw[self.real[i]].lower()} {named}")
+        return out
 
     def values(self, form: int, place: int, k: int) -> list[str]:
         """The values of a window's slots, in lower case."""
@@ -125,7 +140,7 @@ def forms_of(raw: list[str], lexicon: Lexicon) -> Forms:
     named = typed.copy()
     named[name & start] = PLACEHOLDERS[2]
     inside = number | unit | (name & ~start)
-    return Forms(raw, real, [plain, typed, named], [np.zeros(len(real), bool), inside, inside | name], np.nonzero(kind == END)[0])
+    return Forms(raw, real, [plain, typed, named], [np.zeros(len(real), bool), inside, inside | name], np.nonzero(kind == END)[0], number.astype(np.int8) - unit)
 
 
 def _hashes(form: np.ndarray, k: int) -> np.ndarray:
@@ -149,7 +164,7 @@ def _items(batches):
                 # a form whose windows all lack literals would match anything
                 mask = k - np.convolve(forms.slots[form], np.ones(k, int), "valid") >= min(LITERALS, k)
                 n, h = int(mask.sum()), _hashes(forms.hashes[form], k).view(np.int64)
-                rows += [(item_id, int(h[p]), form, p, k, n, forms.values(form, p, k)) for p in np.nonzero(mask)[0].tolist()]
+                rows += [(item_id, int(h[p]), form, p, k, n, forms.quantities(form, p, k)) for p in np.nonzero(mask)[0].tolist()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())))],
             names=["item_id", "hash", "form", "item_place", "k", "n_windows", "item_slots"],
@@ -263,55 +278,66 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["row_id", "doc_id", "digest", "hash", "form", "place", "slots"])
 
 
+#: A window of an item that a document has: its place and pairs of quantity and value.
+Found = tuple[int, list[tuple[str, str]]]
+
+
 @dataclass
 class Alignment:
-    """Lines of one form that lie together: places of the item, text from first to last, the last diagonal, slots both ways."""
+    """Lines of one form that lie together: text from first to last, the last diagonal, the item's places, and all windows."""
 
     first: int
     last: int
     diagonal: int
     places: set[int] = field(default_factory=set)
-    there: dict[str, str] = field(default_factory=dict)
-    back: dict[str, str] = field(default_factory=dict)
-
-    def agrees(self, pairs: list[tuple[str, str]]) -> bool:
-        there, back = dict(self.there), dict(self.back)
-        return all(there.setdefault(i, d) == d and back.setdefault(d, i) == i for i, d in pairs)
+    windows: list[Found] = field(default_factory=list)
 
-    def take(self, first: int, last: int, diagonal: int, places: set[int], pairs: list[tuple[str, str]]) -> None:
+    def take(self, first: int, last: int, diagonal: int, windows: list[Found]) -> None:
         self.first, self.last, self.diagonal = min(self.first, first), max(self.last, last), diagonal
-        self.places |= places
-        self.there.update(pairs)
-        self.back.update((d, i) for i, d in pairs)
-
-    @property
-    def differs(self) -> bool:
-        return any(i != d for i, d in self.there.items())
-
-
-def aligned(lines: list[tuple[int, list[int], list[tuple[str, str]]]], k: int) -> list[Alignment]:
-    """Alignments of one item's lines (diagonal, places, pairs of slots) in ascending order of diagonals."""
+        self.places.update(p for p, _ in windows)
+        self.windows += windows
+
+    def settled(self, shared_values: bool) -> tuple[int, bool]:
+        """Places whose windows show the values that quantities have, and whether these are the item's own."""
+        votes: dict[str, Counter] = defaultdict(Counter)
+        for _, pairs in self.windows:
+            for quantity, value in pairs:
+                votes[quantity][value] += 1
+        value_of = {q: min(own, key=lambda v: (-own[v], v)) for q, own in votes.items()}
+        same = all(q.split(" ")[0] == v for q, v in value_of.items())
+        if not shared_values:
+            stands_for: dict[str, set[str]] = defaultdict(set)
+            for q, v in value_of.items():
+                stands_for[v].add(q.split(" ")[0])
+            value_of = {q: v for q, v in value_of.items() if len(stands_for[v]) == 1}
+        return len({p for p, pairs in self.windows if all(value_of.get(q) == v for q, v in pairs)}), same
+
+
+def aligned(lines: list[tuple[int, list[Found]]], k: int) -> list[Alignment]:
+    """Alignments of one item's lines (diagonal, windows) in ascending order of diagonals."""
     out: list[Alignment] = []
     live: list[Alignment] = []
-    for diagonal, places, pairs in lines:
-        own, first, last = set(places), min(places) + diagonal, max(places) + diagonal + k - 1
+    for diagonal, found in lines:
+        own = {p for p, _ in found}
+        first, last = min(own) + diagonal, max(own) + diagonal + k - 1
         live = [a for a in live if diagonal - a.diagonal <= SHIFT]
-        beside = [a for a in live if first <= a.last + WINDOW + SHIFT and last >= a.first - WINDOW - SHIFT and own - a.places and a.agrees(pairs)]
+        beside = [a for a in live if first <= a.last + WINDOW + SHIFT and last >= a.first - WINDOW - SHIFT and own - a.places]
         if beside:
             best = max(beside, key=lambda a: len(own - a.places))
         else:
             best = Alignment(first, last, diagonal)
-            if not best.agrees(pairs):
-                continue
             out.append(best)
             live.append(best)
-        best.take(first, last, diagonal, own, pairs)
+        best.take(first, last, diagonal, found)
     return out
 
 
-def judged(forms: dict[int, tuple[int, list[Alignment]]]) -> tuple[float, str, int] | None:
+def judged(forms: dict[int, tuple[int, list[Alignment]]], shared_values: bool) -> tuple[float, str, int] | None:
     """coverage, verdict and number of places of one item in one document; forms: its windows and alignments by form."""
-    found = {f: [(len(a.places) / n, not a.differs) for a in all_ if len(a.places) >= COVERAGE * n] for f, (n, all_) in forms.items()}
+    found = {}
+    for form, (n, all_) in forms.items():
+        settled = [a.settled(shared_values) for a in all_ if len(a.places) >= COVERAGE * n]
+        found[form] = [(places / n, same) for places, same in settled if places >= COVERAGE * n]
     every = [x for own in found.values() for x in own]
     if not every:
         return None
@@ -319,40 +345,43 @@ def judged(forms: dict[int, tuple[int, list[Alignment]]]) -> tuple[float, str, i
     return coverage, "verbatim" if same else "reparameterised", max(map(len, found.values()))
 
 
-def _judge(batches: Iterator[pa.RecordBatch]):
-    """Lines in the order of document row, item, form and diagonal."""
-    key, forms, lines, out = None, {}, [], []
+def _judge(shared_values: bool):
+    def run(batches: Iterator[pa.RecordBatch]):
+        """Lines in the order of document row, item, form and diagonal."""
+        key, forms, lines, out = None, {}, [], []
 
-    def end_form():
-        if lines:
-            forms[key[4]] = (key[5], aligned(lines, key[6]))
+        def end_form():
+            if lines:
+                forms[key[4]] = (key[5], aligned(lines, key[6]))
 
-    def end_item():
-        end_form()
-        if key is not None and (got := judged(forms)) is not None:
-            out.append((key[1], key[2], key[3], *got))
+        def end_item():
+            end_form()
+            if key is not None and (got := judged(forms, shared_values)) is not None:
+                out.append((key[1], key[2], key[3], *got))
 
-    def flush():
-        types = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "digest", "item_id", "coverage", "verdict", "n_places"])
+        def flush():
+            types = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "digest", "item_id", "coverage", "verdict", "n_places"])
 
-    for b in batches:
-        for row in b.to_pylist():
-            now = (row["row_id"], row["doc_id"], row["digest"], row["item_id"], row["form"], row["n_windows"], row["k"])
-            if key is None or (now[0], now[3]) != (key[0], key[3]):
-                end_item()
-                key, forms, lines = now, {}, []
-            elif now[4] != key[4]:
-                end_form()
-                key, lines = now, []
-            lines.append((row["diagonal"], row["places"], [(i, d) for x in row["pairs"] for i, d in zip(x["i"], x["d"], strict=True)]))
+        for b in batches:
+            for row in b.to_pylist():
+                now = (row["row_id"], row["doc_id"], row["digest"], row["item_id"], row["form"], row["n_windows"], row["k"])
+                if key is None or (now[0], now[3]) != (key[0], key[3]):
+                    end_item()
+                    key, forms, lines = now, {}, []
+                elif now[4] != key[4]:
+                    end_form()
+                    key, lines = now, []
+                lines.append((row["diagonal"], [(x["p"], list(zip(x["i"], x["d"], strict=True))) for x in row["windows"]]))
+            yield flush()
+            out = []
+        end_item()
         yield flush()
-        out = []
-    end_item()
-    yield flush()
+
+    return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: Scope | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: Scope | None = None, shared_values: bool = False) -> DataFrame:
     """doc_id, digest (SHA-256 of the text), item_id, coverage double, verdict string, n_places long: one row for each document and item that it contains."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -364,16 +393,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text"))
     hits = rows.mapInArrow(_matches([k for k, _ in lengths], sent), MATCHES).join(items, ["hash", "form"]).withColumn("diagonal", F.col("place") - F.col("item_place"))
     own = ["row_id", "doc_id", "digest", "item_id", "form", "n_windows", "k", "diagonal"]
-    pair = F.struct(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    lines = hits.repartition("row_id", "item_id").groupBy(*own).agg(F.collect_set("item_place").alias("places"), F.collect_set(pair).alias("pairs"))
-    return lines.sortWithinPartitions("row_id", "item_id", "form", "diagonal").mapInArrow(_judge, FOUND)
+    window = F.struct(F.col("item_place").alias("p"), F.col("item_slots").alias("i"), F.col("slots").alias("d"))
+    lines = hits.repartition("row_id", "item_id").groupBy(*own).agg(F.collect_set(window).alias("windows"))
+    return lines.sortWithinPartitions("row_id", "item_id", "form", "diagonal").mapInArrow(_judge(shared_values), FOUND)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", shared_values: bool = False) -> DataFrame:
     """The documents that contain no item, with all their columns."""
     scope = Scope(docs.sparkSession)
     own, gone = fresh(docs.columns, "digest", "gone")
-    bad = scope.write(contaminated(docs, benchmark, id_col, text_col, scope).select(F.col("digest").alias(gone)).distinct(), "contaminated")
+    bad = scope.write(contaminated(docs, benchmark, id_col, text_col, scope, shared_values).select(F.col("digest").alias(gone)).distinct(), "contaminated")
     scope.release("contaminated")
     rows = docs.withColumn(own, F.sha2(F.col(text_col).cast("string").cast("binary"), 256))
     return without(rows, own, bad).drop(own)

@@ -274,64 +274,140 @@ def test_slots_are_consistent_over_neighbouring_diagonals(spark, tmp_path):
     assert got.keys() == {0} and got[0][0] == "reparameterised"
 
 
-def brute_force_contaminated(texts, items):
-    """All windows of all forms compared as tuples of tokens; alignments and verdicts by the operator's own last step."""
+def brute_force_contaminated(texts, items, shared_values=False):
+    """All windows of all forms compared as tuples of tokens; lines, alignments, quantities and verdicts in plain loops."""
+    units = set(decontaminate.UNITS.split())
 
     def forms(text):
-        tokens, slots, starts, start = [], {}, {}, True
+        tokens, slots, starts, names_of, start = [], {}, {}, {}, True
         for t in re.findall(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]", text or ""):
             if t in ".!?\n":
                 start = True
                 continue
             if t[0].isdigit():
                 slots[len(tokens)] = "<n>"
-            elif slots.get(len(tokens) - 1) == "<n>" and t.lower() in decontaminate.UNITS.split():
+            elif slots.get(len(tokens) - 1) == "<n>" and t.lower() in units:
                 slots[len(tokens)] = "<u>"
             elif t[0].isupper() and not t.isupper():
                 (starts if start else slots)[len(tokens)] = "<p>"
             tokens.append(t.lower())
             start = False
-        return tokens, [{}, slots, slots | starts]
+        every = slots | starts
+        for i, kind in every.items():
+            near = {"<n>": i + 1, "<u>": i - 1, "<p>": -1}[kind]
+            names_of[i] = (tokens[i], tokens[near] if 0 <= near < len(tokens) else None)
+        return tokens, [{}, slots, every], names_of
+
+    def settle(windows):
+        seen, chosen = {}, {}
+        for _, pairs in windows:
+            for quantity, value in pairs:
+                seen.setdefault(quantity, []).append(value)
+        for quantity, values in seen.items():
+            most = max(values.count(v) for v in values)
+            chosen[quantity] = sorted(v for v in values if values.count(v) == most)[0]
+        same = all(quantity[0] == value for quantity, value in chosen.items())
+        if not shared_values:
+            chosen = {q: v for q, v in chosen.items() if not any(w == v and r[0] != q[0] for r, w in chosen.items())}
+        good = set()
+        for p, pairs in windows:
+            if all(q in chosen and chosen[q] == v for q, v in pairs):
+                good.add(p)
+        return len(good), same
 
     out = {}
     for d, text in enumerate(texts):
-        words, own = forms(text)
+        words, own, _ = forms(text)
         for n, item in enumerate(items):
-            tokens, slots = forms(item)
-            k, found = min(5, len(tokens)), {}
+            tokens, slots, quantity = forms(item)
+            k, best, counts = min(5, len(tokens)), None, []
             for f in range(3):
                 if not k or (f and len(slots[f]) == len(slots[f - 1])):
                     continue
-                wanted = {}
-                for p in range(len(tokens) - k + 1):
-                    if k - sum(i in slots[f] for i in range(p, p + k)) >= min(2, k):
-                        wanted[p] = tuple(slots[f].get(i, tokens[i]) for i in range(p, p + k))
+                wanted = [p for p in range(len(tokens) - k + 1) if k - sum(i in slots[f] for i in range(p, p + k)) >= min(2, k)]
+                shape = {p: [slots[f].get(i, tokens[i]) for i in range(p, p + k)] for p in wanted}
                 lines = {}
                 for q in range(len(words) - k + 1):
-                    here = tuple(own[f].get(i, words[i]) for i in range(q, q + k))
-                    for p, window in wanted.items():
-                        if window == here:
-                            places, pairs = lines.setdefault(q - p, (set(), set()))
-                            places.add(p)
-                            pairs |= {(tokens[p + i], words[q + i]) for i in range(k) if p + i in slots[f]}
-                if lines:
-                    found[f] = (len(wanted), decontaminate.aligned([(x, sorted(a), sorted(b)) for x, (a, b) in sorted(lines.items())], k))
-            if (got := decontaminate.judged(found)) is not None:
-                out[d, n] = got
+                    here = [own[f].get(i, words[i]) for i in range(q, q + k)]
+                    for p in wanted:
+                        if shape[p] == here:
+                            lines.setdefault(q - p, []).append((p, [(quantity[p + i], words[q + i]) for i in range(k) if p + i in slots[f]]))
+                groups = []
+                for diagonal in sorted(lines):
+                    places = {p for p, _ in lines[diagonal]}
+                    low, high = min(places) + diagonal, max(places) + diagonal + k - 1
+                    chosen, gain = None, 0
+                    for g in groups:
+                        near = diagonal - g["diagonal"] <= 3 and low - g["high"] <= 8 and g["low"] - high <= 8
+                        if near and len(places - g["places"]) > gain:
+                            chosen, gain = g, len(places - g["places"])
+                    if chosen is None:
+                        chosen = {"low": low, "high": high, "places": set(), "windows": []}
+                        groups.append(chosen)
+                    chosen.update(low=min(low, chosen["low"]), high=max(high, chosen["high"]), diagonal=diagonal)
+                    chosen["places"] |= places
+                    chosen["windows"] += lines[diagonal]
+                found = [(good / len(wanted), same) for good, same in (settle(g["windows"]) for g in groups) if good >= 0.8 * len(wanted)]
+                counts.append(len(found))
+                best = max([*found, *([best] if best else [])], default=None)
+            if best:
+                out[d, n] = (best[0], "verbatim" if best[1] else "reparameterised", max(counts))
     return out
 
 
-def test_decontamination_against_brute_force(spark, tmp_path, sf):
+@pytest.mark.parametrize("shared_values", [False, True])
+def test_decontamination_against_brute_force(spark, tmp_path, sf, shared_values):
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()] + [ITEM, "two words", "Anna has 5 apples. Berta has 7 apples. How many in all?"]
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()][:80]
     texts += [f"{prose(10)} {i} {prose(10)}" for i in items]
     texts += [re.sub(r"\d+", lambda m: str(int(m[0]) + 11), i).replace("Anna", "Maria").replace("Berta", "Olga") for i in items]
     texts += [changed(i, n) for i in items for n in (1, 2) if len(i.split()) > 5]
-    got = decontaminate.contaminated(plain(spark, tmp_path / "docs", [(i, t, "en", "a", 1) for i, t in enumerate(texts)], 4), benchmark(spark, list(enumerate(items)))).collect()
-    assert {(r.doc_id, r.item_id): (r.coverage, r.verdict, r.n_places) for r in got} == brute_force_contaminated(texts, items)
+    # all numbers alike, and numbers that go by the place in the text
+    texts += [re.sub(r"\d+", "6", i) for i in items] + [re.sub(r"\d+", lambda m: str(m.start() % 7), f"{i} {prose(3)} {i}") for i in items]
+    got = decontaminate.contaminated(plain(spark, tmp_path / "docs", [(i, t, "en", "a", 1) for i, t in enumerate(texts)], 4), benchmark(spark, list(enumerate(items))), shared_values=shared_values).collect()
+    assert {(r.doc_id, r.item_id): (r.coverage, r.verdict, r.n_places) for r in got} == brute_force_contaminated(texts, items, shared_values)
     assert len(got) > 2 * len(items)
 
 
+def test_values_that_coincide(spark, tmp_path):
+    fruit = "Anna has 5 apples and Berta has 7 pears which they bought at the old market this morning"
+    trip = "A slow train goes 60 km in 60 minutes on its way from the old harbour to the new town"
+    texts = [fruit.replace("5", "6").replace("7", "6"), trip.replace("60 km", "40 km").replace("60 min", "30 min"), fruit, trip]
+    docs = plain(spark, tmp_path / "docs", [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+
+    def found(shared_values):
+        rows = decontaminate.contaminated(docs, benchmark(spark, [(1, fruit), (2, trip)]), shared_values=shared_values).collect()
+        return {(r.doc_id, r.item_id): r.verdict for r in rows}
+
+    always = {(1, 2): "reparameterised", (2, 1): "verbatim", (3, 2): "verbatim"}
+    assert found(True) == always | {(0, 1): "reparameterised"}
+    assert found(False) == always
+
+
+def test_a_quantity_with_a_second_value_is_cut_out_of_a_long_question(spark, tmp_path):
+    item = "they packed 40 red balls into the big box near the door and then walked along the river to the mill where the miller gave them bread and some milk before they packed 40 red balls again"
+    texts = [item.replace("40", "60"), item.replace("40", "60", 1), item.replace("40", "60", 1).replace("40", "70")]
+    got = verdicts(spark, tmp_path / "docs", texts, item)
+    assert {i: v for i, (v, _) in got.items()} == {0: "reparameterised", 1: "verbatim", 2: "reparameterised"}
+    assert got[0][1] == 1.0 and 0.8 <= got[2][1] < 1.0
+
+
+def test_recall_of_reparameterised_items(spark, tmp_path, sf):
+    """Items with quantities of their own among long texts; numbers are drawn from few values, so that they coincide, and names are others."""
+    rng = random.Random(5)
+    things = ["apples", "tickets", "bricks", "km", "minutes", "euros", "boxes", "hours"]
+    items = []
+    for i in range(60):
+        rng.shuffle(things)
+        a, b, c = (rng.choice([2, 5, 10, 60]) for _ in range(3))
+        items.append(f"On the way to Berlin our friend {prose(6)} {a} {things[0]} for the {prose(4)} and {b} {things[1]} of it {prose(5)} after {c} {things[2]} how much is left {prose(3)}")
+    again = [re.sub(r"\d+", lambda m: str(rng.choice([3, 4, 8, 90])), i).replace("Berlin", "Madrid") for i in items]
+    texts = [f"{prose(60)} {t} {prose(60)}" for i, t in enumerate(again)] + [prose(200) for i in range(60)]
+    docs = plain(spark, tmp_path / "docs", [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark(spark, list(enumerate(items))), shared_values=True).collect()}
+    assert got <= {(i, i) for i in range(60)} and len(got) >= 0.9 * 60
+
+
 # --- language and quality
 
 
