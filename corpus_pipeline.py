@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain an item of the benchmark go."""
-    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"), shared_values=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
