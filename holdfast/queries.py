@@ -6,7 +6,7 @@ A search needs its query before it plans: the vectors of single rows and one pas
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,8 @@ from holdfast.operators import search as S
 from holdfast.plans import ingest, search
 from holdfast.sources import files, library, store
 from holdfast.sources.library import from_tables, read, sql
-from holdfast.sources.scratch import materialise
+from holdfast.sources.scratch import materialise, scratch_path
+from holdfast.streaming import engine
 from holdfast.streaming import jobs as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -714,6 +715,41 @@ def job_states_streamed(spark, sf_dir):
     return stream.run_once(stream.states(e.select("event_id", "ts", F.col("user_id").alias("item_id"), status.alias("status"))), "update", ["item_id"])
 
 
+@query(
+    """WITH c AS (SELECT event_id, ts, epoch_ms(ts) AS t, CASE WHEN event_id % 100 IN (0, 50) THEN NULL ELSE user_id END AS job_id,
+  CASE WHEN event_id % 100 = 0 THEN 'pause' WHEN event_id % 100 = 50 THEN 'resume' WHEN event_type = 'signup' THEN 'queue' WHEN event_type = 'view' THEN 'start'
+    WHEN event_type = 'click' THEN 'progress' WHEN event_type = 'purchase' THEN 'finish' WHEN event_id % 3 = 0 THEN 'cancel' ELSE 'fail' END AS action,
+  value / 500 AS p FROM events),
+w AS (SELECT *, coalesce(last_value(CASE WHEN job_id IS NULL THEN action END IGNORE NULLS) OVER (ORDER BY ts, event_id), '') = 'pause' AS paused FROM c),
+l AS (SELECT job_id, list({'status': action, 'progress': p, 'error': CASE WHEN paused THEN 'paused' ELSE '' END, 'attempts': 0::BIGINT, 'refused': event_id, 'until': t} ORDER BY ts, event_id) AS l
+  FROM w WHERE job_id IS NOT NULL GROUP BY job_id),
+f AS (SELECT job_id, list_reduce(list_prepend({'status': '', 'progress': 0::DOUBLE, 'error': '', 'attempts': 0::BIGINT, 'refused': 0::BIGINT, 'until': 0::BIGINT}, l), lambda b, x:
+  list_transform([CASE WHEN b.until > 0 AND b.until <= x.until THEN {'status': 'queued', 'progress': 0::DOUBLE, 'error': b.error, 'attempts': b.attempts, 'refused': b.refused, 'until': 0::BIGINT} ELSE b END], lambda a:
+    CASE WHEN x.status = 'queue' AND a.status IN ('', 'done', 'failed') THEN {'status': 'queued', 'progress': 0::DOUBLE, 'error': '', 'attempts': a.attempts, 'refused': a.refused, 'until': 0::BIGINT}
+      WHEN x.status = 'start' AND a.status = 'queued' AND x.error <> 'paused' THEN {'status': 'running', 'progress': 0::DOUBLE, 'error': '', 'attempts': a.attempts + 1, 'refused': a.refused, 'until': x.until + 43200000}
+      WHEN x.status = 'progress' AND a.status = 'running' THEN {'status': 'running', 'progress': greatest(0::DOUBLE, least(1::DOUBLE, x.progress)), 'error': a.error, 'attempts': a.attempts, 'refused': a.refused, 'until': x.until + 43200000}
+      WHEN x.status = 'finish' AND a.status = 'running' THEN {'status': 'done', 'progress': 1::DOUBLE, 'error': '', 'attempts': a.attempts, 'refused': a.refused, 'until': 0::BIGINT}
+      WHEN x.status = 'fail' AND a.status = 'running' THEN {'status': 'failed', 'progress': a.progress, 'error': 'event ' || x.refused, 'attempts': a.attempts, 'refused': a.refused, 'until': 0::BIGINT}
+      WHEN x.status = 'cancel' AND a.status IN ('queued', 'running') THEN {'status': 'done', 'progress': 0::DOUBLE, 'error': 'cancelled', 'attempts': a.attempts, 'refused': a.refused, 'until': 0::BIGINT}
+      ELSE {'status': a.status, 'progress': a.progress, 'error': a.error, 'attempts': a.attempts, 'refused': a.refused + 1, 'until': a.until} END)[1]) AS s FROM l),
+e AS (SELECT job_id, s, s.until > 0 AND s.until <= (SELECT max(t) - 3600000 FROM c) AS ended FROM f)
+SELECT job_id, nullif(CASE WHEN ended THEN 'queued' ELSE s.status END, '') AS status, CASE WHEN ended THEN 0 ELSE s.progress END AS progress, nullif(s.error, '') AS error,
+  s.attempts AS attempts, s.refused AS refused FROM e"""
+)
+def job_engine_streamed(spark, sf_dir):
+    """Users as jobs: what they do are commands, two of a hundred events pause and resume. The files may overlap in time, so the table is one batch."""
+    e = stream.event_stream(spark, f"{sf_dir}/events.parquet", files_per_batch=None)
+    control = F.col("event_id") % 100
+    kind = F.when(control == 0, "pause").when(control == 50, "resume")
+    for event_type, action in (("signup", "queue"), ("view", "start"), ("click", "progress"), ("purchase", "finish")):
+        kind = kind.when(F.col("event_type") == event_type, action)
+    kind = kind.when(F.col("event_id") % 3 == 0, "cancel").otherwise("fail")
+    job = F.when(~control.isin(0, 50), F.col("user_id"))
+    commands = e.select(F.col("event_id").alias("seq"), "ts", job.alias("job_id"), kind.alias("action"), (F.col("value") / 500).alias("progress"), F.format_string("event %d", "event_id").alias("message"))
+    jobs = engine.run_available(engine.job_changes(commands, timedelta(hours=12)), scratch_path(spark, "job_engine"))
+    return jobs.select("job_id", "status", "progress", "error", "attempts", "refused")
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_counts_streamed(spark, sf_dir):
     rows = stream.run_once(stream.windowed_counts(stream.event_stream(spark, f"{sf_dir}/events.parquet")), "complete")
