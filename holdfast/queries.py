@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import scoring, text, vector
 from holdfast.functions.embed import Registry
 from holdfast.functions.highlight import span_of
-from holdfast.operators import batches, bm25_blocks, evaluate, fuzzy_index, positions, vector_index, windows
+from holdfast.operators import batches, bm25_blocks, chains, evaluate, fuzzy_index, positions, vector_index, windows
 from holdfast.operators import library as ops
 from holdfast.operators import search as S
 from holdfast.plans import ingest, search
@@ -506,6 +506,16 @@ def frame_thinning(spark, sf_dir):
     return own.select("user_id", F.size("k").cast("long").alias("n"), F.round(F.aggregate("k", F.lit(0.0), lambda a, x: a + x), 1).alias("total"))
 
 
+@query(
+    """WITH RECURSIVE o AS (SELECT DISTINCT user_id, epoch_ms(ts) AS t FROM events),
+k(user_id, t) AS (SELECT user_id, min(t) FROM o GROUP BY user_id UNION ALL SELECT k.user_id, (SELECT min(o.t) FROM o WHERE o.user_id = k.user_id AND o.t >= k.t + 7200000) FROM k WHERE k.t IS NOT NULL)
+SELECT user_id, t FROM k WHERE t IS NOT NULL"""
+)
+def times_thinned_by_pointers(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp_ltz")).alias("t"))
+    return chains.thinned(e, ["user_id"], "t", 7_200_000)
+
+
 @query("WITH o AS (SELECT user_id, list(event_id ORDER BY event_id) AS v FROM events GROUP BY user_id) SELECT user_id, array_to_string(CASE WHEN len(v) <= 5 THEN v ELSE list_transform(range(5), lambda i: v[(floor(i * len(v) / 5) + 1)::INTEGER]) END, ',') AS picked FROM o")
 def even_thinning(spark, sf_dir):
     own = read(spark, sf_dir, "events").groupBy("user_id").agg(windows.thin_evenly(F.array_sort(F.collect_list("event_id")), 5).alias("v"))
