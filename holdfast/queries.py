@@ -507,7 +507,7 @@ def frame_thinning(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE o AS (SELECT DISTINCT user_id, epoch_ms(ts) AS t FROM events),
+    """WITH RECURSIVE o AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS t FROM events),
 k(user_id, t) AS (SELECT user_id, min(t) FROM o GROUP BY user_id UNION ALL SELECT k.user_id, (SELECT min(o.t) FROM o WHERE o.user_id = k.user_id AND o.t >= k.t + 7200000) FROM k WHERE k.t IS NOT NULL)
 SELECT user_id, t FROM k WHERE t IS NOT NULL"""
 )
@@ -726,7 +726,7 @@ def job_states_streamed(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT event_id, ts, epoch_ms(ts) AS t, CASE WHEN event_id % 100 IN (0, 50) THEN NULL ELSE user_id END AS job_id,
+    """WITH c AS (SELECT event_id, ts, epoch_us(ts) // 1000 AS t, CASE WHEN event_id % 100 IN (0, 50) THEN NULL ELSE user_id END AS job_id,
   CASE WHEN event_id % 100 = 0 THEN 'pause' WHEN event_id % 100 = 50 THEN 'resume' WHEN event_type = 'signup' THEN 'queue' WHEN event_type = 'view' THEN 'start'
     WHEN event_type = 'click' THEN 'progress' WHEN event_type = 'purchase' THEN 'finish' WHEN event_id % 3 = 0 THEN 'cancel' ELSE 'fail' END AS action,
   value / 500 AS p FROM events),
