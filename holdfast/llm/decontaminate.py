@@ -10,7 +10,7 @@ out do not break it, but pieces scattered over a document are not added up.
 
 Slots are checked in each alignment. A quantity of the item is a number with the token after it, a unit with the number before it, or a name:
 `60 km` and `60 minutes` may become 40 and 30, while two places of `40 balls` stand for one value. With `shared_values` 5 apples and 7 pears may
-both become 6; without it a value that would stand for two of the item's counts for neither. The value of a quantity is the one that most of the alignment's windows show (the smallest of equal ones); windows that show another one are cut
+both become 6; without it a value that would stand for two of the item's counts for neither. A name that becomes two names voids its alignment. The value of another quantity is the one that most of the alignment's windows show (the smallest of equal ones); windows that show another one are cut
 out, the rest stays. A document is contaminated by an item of which the remaining windows of one alignment cover COVERAGE of the windows of a
 form. The verdict comes from the values of the alignment that covers most: `reparameterised` if any differs from the item's, else `verbatim`.
 
@@ -303,6 +303,8 @@ class Alignment:
         for _, pairs in self.windows:
             for quantity, value in pairs:
                 votes[quantity][value] += 1
+        if any(len(own) > 1 and q.endswith(" ") and not q[0].isdigit() for q, own in votes.items()):
+            return 0, False
         value_of = {q: min(own, key=lambda v: (-own[v], v)) for q, own in votes.items()}
         same = all(q.split(" ")[0] == v for q, v in value_of.items())
         if not shared_values:

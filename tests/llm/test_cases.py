@@ -304,6 +304,8 @@ def brute_force_contaminated(texts, items, shared_values=False):
             for quantity, value in pairs:
                 seen.setdefault(quantity, []).append(value)
         for quantity, values in seen.items():
+            if quantity[1] is None and not quantity[0][0].isdigit() and len(set(values)) > 1:
+                return 0, False
             most = max(values.count(v) for v in values)
             chosen[quantity] = sorted(v for v in values if values.count(v) == most)[0]
         same = all(quantity[0] == value for quantity, value in chosen.items())
