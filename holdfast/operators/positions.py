@@ -1,6 +1,6 @@
 """Exact phrases through positions of words.
 
-The index has a row for each word of an item and each BLOCK places of its text: the places where the word stands. It is sorted by word, so a
+The index has a row for each word of an item and each BLOCK places of its text: the places where the word stands. Each of its files is sorted by word, so a
 query reads its own words' rows; a dictionary tells how often each word stands. A phrase's first word may end a longer word and its last may begin one,
 as a phrase is any part of a text, so the words that fit are looked up in the dictionary first.
 
@@ -52,10 +52,11 @@ def _batch(words, items, blocks, at) -> pa.RecordBatch:
 
 
 def positions(items: DataFrame, size: int = BLOCK) -> DataFrame:
-    """word, item_id, block, at of the whole searched text of every item. Made without a shuffle, dealt out by ranges of words."""
+    """word, item_id, block, at of the whole searched text of every item. Made without a shuffle: each task sorts what it has made by word, so every
+    file of a stored index has its words in order, and a query reads a few pages of each. (To deal out ranges of words would make all rows twice, once to sample them.)"""
     rows = items.select(F.col("id").cast("long").alias("item_id"), plain(S.searched()).alias("t")).where("item_id is not null and t <> ''")
     made = rows.mapInArrow(_placed(size), "word string, item_id long, block int, at array<int>")
-    return made.repartitionByRange("word", "item_id", "block").sortWithinPartitions("word", "item_id", "block")
+    return made.sortWithinPartitions("word", "item_id", "block")
 
 
 def dictionary(index: DataFrame) -> DataFrame:

@@ -63,3 +63,14 @@ def test_only_found_items_chunks_are_shuffled(spark, sf):
     lib = search.with_chunks(from_tables(spark, sf))
     plan = S.exact_evidence(lib.items, lib.chunks, "in the")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "LeftSemi" in plan
+
+
+def test_positions_are_made_without_a_shuffle_and_each_file_is_sorted(spark, sf, tmp_path):
+    made = positions.positions(from_tables(spark, sf).items.repartition(3))
+    assert "rangepartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    made.write.parquet(str(tmp_path / "at"))
+    files = sorted((tmp_path / "at").glob("*.parquet"))
+    for f in files:
+        words = [r.word for r in spark.read.parquet(str(f)).select("word").collect()]
+        assert words == sorted(words, key=str.encode)
+    assert len(files) == 3
