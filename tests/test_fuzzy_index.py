@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from holdfast.functions import scoring
+from holdfast.functions import fuzzy, scoring
 from holdfast.functions.fuzzy import similarities
 from holdfast.operators import fuzzy_index
 from holdfast.operators import search as S
@@ -64,3 +64,42 @@ def test_a_search_with_trigrams_has_all_phrase_hits(spark, sf):
     known = {r["item_id"]: r["score"] for r in all_}
     assert few and all(known[r["item_id"]] >= r["score"] - 1e-9 for r in few)
     assert lib.chunks.where(F.col("item_id").isin(list(known))).count() >= len(known)
+
+
+def test_trigrams_are_kept_in_blocks_without_a_shuffle(spark, monkeypatch):
+    rows = [(i * 1_000_000, i, 0, t) for i, t in enumerate(["abcab", "ab", "xabc", "", None, "b", "ab", "bca bca", "жу ab\U0001d7d9c"])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, item_id long, chunk_ix int, chunk_text string").coalesce(1)
+    want = {}
+    for c, _, _, t in rows:
+        for g in fuzzy._grams(fuzzy.fold_text(t)) if fuzzy.fold_text(t) else ():
+            want.setdefault(g, set()).add(c)
+    for size in (1, 2, 3, 4096):
+        index = fuzzy_index.grams(chunks, size)
+        assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+        got, ids, found = {}, {}, index.collect()
+        for r in found:
+            if r.gram is None:
+                ids[r.block] = r.chunk_ids
+        assert all(len(i) <= size for i in ids.values()) and sum(map(len, ids.values())) == 7
+        for r in found:
+            if r.gram is not None:
+                own = [ids[r.block][p] for p in r.places]
+                assert len(set(own)) == len(own) and not got.setdefault(r.gram, set()) & set(own)
+                got[r.gram] |= set(own)
+        assert got == want
+
+
+def test_more_letters_than_a_number_holds(monkeypatch):
+    texts = ["abcab", "ab", "xabc", "bca bca"]
+    plain = fuzzy_index._grams_of_block(texts)
+    monkeypatch.setattr(fuzzy_index, "PLACE_BITS", 58)
+    for a, b in zip(plain, fuzzy_index._grams_of_block(texts), strict=True):
+        assert list(a) == list(b)
+
+
+def test_texts_aligned_in_one_go_cost_what_each_costs():
+    own = [fuzzy.fold_text("".join(R.choice("aabc d") for _ in range(R.randrange(1, 80)))) or "a" for _ in range(300)]
+    for phrase in ("a", "abc", "cab d a", "aab cd ab dd ca b a a c", own[5]):
+        p = fuzzy.Phrase(phrase)
+        assert p.costs(own) == [p.cost(t) for t in own]
+        assert p.ratios(own) == [1 - p.cost(t) / (2 * len(p.codes)) for t in own]
